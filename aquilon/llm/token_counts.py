@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,28 +67,68 @@ def _word_part(w: pa.Array, parts: int) -> np.ndarray:
     return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts
 
 
-_OUT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.binary()))])
-_OUT_DDL = "kind int, part int, block long, ids binary, codes binary, words array<binary>"
+_OUT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("first", pa.int32()), ("data", pa.binary())])
+_OUT_DDL = "kind int, part int, block long, first int, data binary"
 
 
-def _blocks(batches, parts: int, limit: int):
+def _zip(*arrays: np.ndarray) -> bytes:
+    """Arrays, each with its length, compressed."""
+    raw = b"".join(np.int64(a.nbytes).tobytes() + np.ascontiguousarray(a).tobytes() for a in arrays)
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def _unzip(blob: bytes, *types) -> list[np.ndarray]:
+    size = int(np.frombuffer(blob, np.int64, 1)[0])
+    raw, at, out = pa.Codec("zstd").decompress(blob[8:], size, asbytes=True), 0, []
+    for t in types:
+        n = int(np.frombuffer(raw, np.int64, 1, at)[0])
+        out.append(np.frombuffer(raw, t, n // np.dtype(t).itemsize, at + 8))
+        at += 8 + n
+    return out
+
+
+def _lists(doc: np.ndarray, code: np.ndarray, freq: np.ndarray):
+    """Postings sorted by (document, word number) as byte planes of the steps, and frequencies as bytes with the large ones aside."""
+    order = np.lexsort((code, doc)) if freq.max(initial=0) >= 1 << 24 or doc.max(initial=0) >= 1 << 16 else None
+    if order is None:
+        key = np.sort(doc.astype(np.uint64) << np.uint64(48) | code.astype(np.uint64) << np.uint64(24) | freq.astype(np.uint64))
+        doc, code, freq = key >> np.uint64(48), (key >> np.uint64(24)) & np.uint64(0xFFFFFF), key & np.uint64(0xFFFFFF)
+    else:
+        doc, code, freq = doc[order], code[order], freq[order]
+    step = code.astype(np.uint32)
+    if step.size:
+        same = doc[1:] == doc[:-1]
+        step[1:] -= np.where(same, code[:-1], 0).astype(np.uint32)
+    big = freq >= 255
+    return [(step >> np.uint32(8 * b)).astype(np.uint8) for b in range(3)] + [np.where(big, 255, freq).astype(np.uint8), freq[big].astype(np.int64)]
+
+
+def _blocks(batches, parts: int, limit: int, max_words: int = 2_000_000):
     """For each block of documents: one record of kind 0 with (ids, bytes, distinct counts) of its
-    documents and their (local word number, frequency) lists, and for each part one of
-    kind 1 with the block's distinct pre-tokens that fall in it."""
+    documents and their (word number, frequency) lists, and for each part one of kind 1 with the
+    block's distinct pre-tokens that fall in it, sorted; words are numbered by (part, word)."""
     seq, pid = 0, TaskContext.get().partitionId()
 
     def flush():
         nonlocal seq
         block = (pid << 24) | seq
         seq += 1
-        names = pa.array(list(code), pa.string()).cast(pa.binary())
-        rows = [(0, -1, block, np.array(ids, np.int64).tobytes() + np.array(sizes, np.int64).tobytes() + np.array(lens, np.int64).tobytes(), np.array(codes, np.uint32).tobytes() + np.array(freqs, np.uint32).tobytes(), [])]
-        if len(names):
-            part = _word_part(names, parts)
-            order = np.argsort(part, kind="stable")
-            for idx in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                rows.append((1, int(part[idx[0]]), block, b"", idx.astype(np.uint32).tobytes(), names.take(pa.array(idx))))
-        yield from (pa.RecordBatch.from_arrays([pa.array([v], f.type) if f.name != "words" else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if len(v) else pa.array([], pa.binary())) for v, f in zip(r, _OUT)], schema=_OUT) for r in rows)
+        names = pa.array(list(code), pa.large_string()).cast(pa.large_binary())
+        part = _word_part(names, parts) if len(names) else np.zeros(0, np.int64)
+        order = np.asarray(pc.sort_indices(pa.table({"p": part, "w": names}), sort_keys=[("p", "ascending"), ("w", "ascending")]))
+        number = np.empty(order.size, np.int64)
+        number[order] = np.arange(order.size)
+        doc = np.repeat(np.arange(len(lens)), lens)
+        rows = [(0, -1, block, 0, _zip(np.array(ids, np.int64), np.array(sizes, np.int64), np.array(lens, np.int64), *_lists(doc, number[np.array(codes, np.int64)], np.array(freqs, np.int64))))]
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, order.size]):
+            if hi > lo:
+                w = names.take(pa.array(order[lo:hi]))
+                _, offs, data = w.buffers()
+                o = np.frombuffer(offs, np.int64)[w.offset : w.offset + len(w) + 1]
+                rows.append((1, int(part[order[lo]]), block, int(lo), _zip(np.diff(o).astype(np.uint32), np.frombuffer(data, np.uint8)[o[0] : o[-1]])))
+        for r in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(r, _OUT)], schema=_OUT)
 
     ids, sizes, lens, codes, freqs, code, seen = [], [], [], [], [], {}, 0
     for batch in batches:
@@ -100,7 +141,7 @@ def _blocks(batches, parts: int, limit: int):
             codes += [code.setdefault(w, len(code)) for w in c]
             freqs += c.values()
             seen += sizes[-1]
-            if seen >= limit:
+            if seen >= limit or len(code) >= max_words:
                 yield from flush()
                 ids, sizes, lens, codes, freqs, code, seen = [], [], [], [], [], {}, 0
     if ids:
@@ -109,27 +150,33 @@ def _blocks(batches, parts: int, limit: int):
 
 def _pieces(table: pa.Table, spec: str) -> pa.Table:
     """Counts the pieces of each distinct pre-token of one part once; answers every block."""
-    words = table["words"].combine_chunks()
-    words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
-    d = words.flatten().dictionary_encode()
-    n = count_pieces(spec, d.dictionary.cast(pa.string()).to_pylist())
-    per = n[np.asarray(d.indices)] if len(d) else np.zeros(0, np.uint32)
-    ends = np.cumsum(np.asarray(words.value_lengths()))
-    return pa.table({"block": table["block"], "idx": table["codes"], "n": pa.array([x.tobytes() for x in np.split(per, ends[:-1])], pa.binary())})
+    sizes, chunks = [], []
+    for blob in table["data"].to_pylist():
+        n, b = _unzip(blob, np.uint32, np.uint8)
+        offs = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        sizes.append(n.size)
+        chunks.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n.size, [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(b.tobytes())]))
+    d = pa.concat_arrays(chunks).dictionary_encode()
+    n = count_pieces(spec, d.dictionary.cast(pa.large_string()).to_pylist())
+    per = np.split(n[np.asarray(d.indices)], np.cumsum(sizes)[:-1])
+    return pa.table({"block": table["block"], "first": table["first"], "n": pa.array([_zip(x.astype(np.uint32)) for x in per], pa.binary())})
 
 
 def _sum(left: pa.Table, right: pa.Table) -> pa.Table:
     """Sums frequency times pieces for each document of a block."""
-    idx = [np.frombuffer(b, np.uint32) for b in right["idx"].to_pylist()]
-    pieces = np.zeros(1 + max((int(i.max()) for i in idx if i.size), default=-1), np.int64)
-    for i, n in zip(idx, right["n"].to_pylist()):
-        pieces[i] = np.frombuffer(n, np.uint32)
+    known = [(f, _unzip(n, np.uint32)[0]) for f, n in zip(right["first"].to_pylist(), right["n"].to_pylist())]
+    pieces = np.zeros(max((f + n.size for f, n in known), default=0), np.int64)
+    for f, n in known:
+        pieces[f : f + n.size] = n
     ids, sizes, toks = [], [], []
-    for meta, lists in zip(left["ids"].to_pylist(), left["codes"].to_pylist()):
-        i, s, k = np.frombuffer(meta, np.int64).reshape(3, -1)
-        codes, freqs = np.frombuffer(lists, np.uint32).reshape(2, -1)
-        run = np.concatenate(([0], np.cumsum(pieces[codes] * freqs)))
+    for blob in left["data"].to_pylist():
+        i, s, k, b0, b1, b2, freq, big = _unzip(blob, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8, np.uint8, np.int64)
         ends = np.cumsum(k)
+        run = np.cumsum(b0.astype(np.int64) | b1.astype(np.int64) << 8 | b2.astype(np.int64) << 16)
+        base = np.concatenate(([0], run))[ends - k]
+        freq = freq.astype(np.int64)
+        freq[freq == 255] = big
+        run = np.concatenate(([0], np.cumsum(pieces[run - np.repeat(base, k)] * freq)))
         ids.append(i)
         sizes.append(s)
         toks.append(run[ends] - run[ends - k])
@@ -137,7 +184,7 @@ def _sum(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": id_column(cat(ids)), "n_bytes": pa.array(cat(sizes), pa.int64()), "n_tokens": pa.array(cat(toks), pa.int64())})
 
 
-def token_counts(docs: DataFrame, tokenizer_json: str, block_bytes: int = 12 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_json: str, block_bytes: int = 20 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens for each row of docs, as the library counts whole texts.
 
     tokenizer_json: path of a byte-level BPE .json file; its text (checked: 16 MB at most) travels
@@ -153,8 +200,8 @@ def token_counts(docs: DataFrame, tokenizer_json: str, block_bytes: int = 12 <<
     d = docs.select("doc_id", "text")
     parts = n_parts(d)
     held = saved(d.mapInArrow(lambda it: _blocks(it, parts, block_bytes), _OUT_DDL), "kind")
-    lists = held.where("kind = 0").select("block", "ids", "codes")
-    pieces = held.where("kind = 1").select("part", "block", "codes", "words").groupBy("part").applyInArrow(lambda t: _pieces(t, spec), "block long, idx binary, n binary")
+    lists = held.where("kind = 0").select("block", "data")
+    pieces = held.where("kind = 1").select("part", "block", "first", "data").groupBy("part").applyInArrow(lambda t: _pieces(t, spec), "block long, first int, n binary")
     return lists.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
 
 
