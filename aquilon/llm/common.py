@@ -264,3 +264,73 @@ def _forest(batches):
         if len(parent) > 1_000_000:
             yield out()
     yield out()
+
+
+# ---------------------------------------------------------------- earlier occurrences
+
+#: A row of a packed exchange: kind 0 goes to the part of its keys, kind 1 answers a bucket of documents.
+EXCHANGE = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+EXCHANGE_DDL = "part int, kind int, blob binary"
+REPLY_DDL = "bucket int, blob binary"
+KEYED = (np.uint64, np.int64, np.uint32, np.uint32)  # key, doc, hash of the text, position
+PLACED = KEYED[1:]
+
+
+def exchange_rows(rows) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, EXCHANGE)], schema=EXCHANGE)
+
+
+def reply_table(rows) -> pa.Table:
+    cols = list(zip(*rows)) or [(), ()]
+    return pa.table({"bucket": pa.array(cols[0], pa.int32()), "blob": pa.array(cols[1], pa.binary())})
+
+
+def later(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which rows have a row with the same key at a smaller (doc, pos)."""
+    order = np.lexsort((pos, doc, key))
+    k, d, p = key[order], doc[order], pos[order]
+    new = np.ones(k.size, bool)
+    new[1:] = k[1:] != k[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(k.size), 0))
+    out = np.zeros(k.size, bool)
+    out[order] = (d > d[first]) | ((d == d[first]) & (p > p[first]))
+    return out
+
+
+def deal_keyed(parts: int, key, doc, tk, pos):
+    """Exchange rows for keyed places: those with an earlier one in this block are answered at once, so a
+    frequent key leaves a block once."""
+    dup = later(key, doc, pos)
+    for b, blob in deal(bucket_np(doc[dup], parts), doc[dup], tk[dup], pos[dup]):
+        yield b, 1, blob
+    one = ~dup
+    for b, blob in deal((key[one] % U(parts)).astype(np.int32), key[one], doc[one], tk[one], pos[one]):
+        yield b, 0, blob
+
+
+def answer_keyed(table: pa.Table, parts: int) -> pa.Table:
+    """One part of the exchange: the places that have an earlier one with the same key, by bucket."""
+    kinds, blobs = np.asarray(table["kind"]), table["blob"].to_pylist()
+    key, doc, tk, pos = unpack_all([b for b, k in zip(blobs, kinds) if k == 0], *KEYED)
+    dup = later(key, doc, pos)
+    rows = list(deal(bucket_np(doc[dup], parts), doc[dup], tk[dup], pos[dup]))
+    rows += [(p, b) for p, b, k in zip(table["part"].to_pylist(), blobs, kinds) if k == 1]
+    return reply_table(rows)
+
+
+class Replies:
+    """The answers of one bucket, by document."""
+
+    def __init__(self, blobs, *types):
+        self.cols = unpack_all(blobs, *types)
+        order = np.lexsort((self.cols[2], self.cols[1], self.cols[0])) if self.cols else []
+        self.cols = [c[order] for c in self.cols]
+        doc, tk = self.cols[:2]
+        cut = np.flatnonzero((doc[1:] != doc[:-1]) | (tk[1:] != tk[:-1])) + 1 if doc.size else np.zeros(0, int)
+        lo = np.concatenate(([0], cut)) if doc.size else cut
+        self.at = {(int(doc[i]), int(tk[i])): (int(i), int(j)) for i, j in zip(lo, np.concatenate((lo[1:], [doc.size])))}
+
+    def of(self, doc: int, tk: int):
+        i, j = self.at.get((doc, tk), (0, 0))
+        return [c[i:j] for c in self.cols[2:]]

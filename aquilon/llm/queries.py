@@ -5,17 +5,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, token_counts
+from . import decontaminate, language_id, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_t(spark, sf_dir, "pages"), spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_t(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_t(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_t(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -24,6 +40,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_t(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op7_decontaminate, op8_packing)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_language_id, op7_decontaminate, op8_packing, op9_quality)}
 
-ORACLES = {"op7_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op2_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
