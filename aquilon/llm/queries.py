@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import decontaminate, embedding_dedup, language_id, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_t(spark, sf_dir, "embeddings"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_t(spark, sf_dir, "pages"), spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string"))
 
@@ -44,6 +48,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_language_id, op7_decontaminate, op8_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_language_id, op7_decontaminate, op8_packing, op9_quality)}
 
-ORACLES = {"op2_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op1_embedding_dedup": embedding_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
