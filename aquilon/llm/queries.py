@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, language_id, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import decontaminate, embedding_dedup, language_id, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_language_id, op7_decontaminate, op8_packing, op9_quality)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_t(spark, sf_dir, "documents"))
 
-ORACLES = {"op1_embedding_dedup": embedding_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_url_filter, op3_token_counts, op4_suffix_dedup, op5_substring_dedup, op6_language_id, op7_decontaminate, op8_packing, op9_quality, op10_ngram_join)}
+
+ORACLES = {"op1_embedding_dedup": embedding_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
