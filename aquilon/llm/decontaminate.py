@@ -101,11 +101,15 @@ class Matcher:
 _MATCHERS: dict[int, Matcher] = {}
 
 
-def _scan(batches, held, window):
+def _matcher(held, window: int) -> Matcher:
     if held.id not in _MATCHERS:
         _MATCHERS.clear()
         _MATCHERS[held.id] = Matcher(held.value, window)
-    m = _MATCHERS[held.id]
+    return _MATCHERS[held.id]
+
+
+def _scan(batches, held, window):
+    m = _matcher(held, window)
     for batch in batches:
         rows = [m.scan(t) for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -138,6 +142,28 @@ def _rebuild(i, b):
     return h
 
 
+def _chunks(docs: DataFrame, benchmark: DataFrame, chunk_bytes: int):
+    """The benchmark's (item_id, text) rows as broadcasts of about chunk_bytes of text each."""
+    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    n = -(-(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes) or 1
+    for k in range(n):
+        items = b if n == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield _Held(docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()]))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """The rows of docs without any occurrence of a benchmark window, all columns kept; nothing is shuffled."""
+    for held in _chunks(docs, benchmark, chunk_bytes):
+
+        def keep(batches, held=held):
+            m = _matcher(held, window)
+            for batch in batches:
+                yield batch.filter(pa.array([not m.scan(t)[1] for t in batch["text"].to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_bytes: int = 1 << 20) -> DataFrame:
     """One row for each row of docs: doc_id, text_key (hash of the text), n_words, spans of hit
     words, items with occurring windows.
@@ -148,17 +174,9 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     with a null id hits words but is not listed. Repeated rows of docs give a row each; with
     several chunks identical (doc_id, text) rows collapse to one.
     """
-    spark = docs.sparkSession
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // chunk_bytes) or 1
-    outs = []
-    for k in range(n):
-        items = b if n == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        held = _Held(spark.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()]))
-        outs.append(d.mapInArrow(lambda it, held=held: _scan(it, held, window), _SCHEMA))
-    if n == 1:
+    outs = [d.mapInArrow(lambda it, held=held: _scan(it, held, window), _SCHEMA) for held in _chunks(docs, benchmark, chunk_bytes)]
+    if len(outs) == 1:
         return outs[0]
     every = outs[0]
     for o in outs[1:]:
