@@ -92,7 +92,7 @@ def p_vector(h1, h2, com, shifted: bool = True) -> list[Column]:
     a, b, c = ([wrap_open(q + m) for q, m in zip(v, move)] for v in (h1, h2, com))
     p = [(i + j) / 2 - k for i, j, k in zip(a, b, c if shifted else com)]
     n = norm(p)
-    return [q / n for q in p]
+    return [F.try_divide(q, n) for q in p]
 
 
 def delta_phi(p, q, clip: bool = True) -> list[Column]:
@@ -100,10 +100,10 @@ def delta_phi(p, q, clip: bool = True) -> list[Column]:
     c, v = dot(p, q), cross(p, q)
     if not clip:
         n = norm(v)
-        return [F.acos(c) * x / n for x in v]
+        return [F.when(n == 0, F.lit(float("nan"))).otherwise(F.acos(c) * F.try_divide(x, n)) for x in v]
     n = norm(v)
     angle = F.acos(F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)))
-    return [F.when(n == 0, F.lit(0.0)).otherwise(angle * x / n) for x in v]
+    return [F.when(n == 0, F.lit(0.0)).otherwise(angle * F.try_divide(x, n)) for x in v]
 
 
 def displaced_hydrogen(h1, h2, o) -> list[Column]:
@@ -111,5 +111,5 @@ def displaced_hydrogen(h1, h2, o) -> list[Column]:
     until it is 1.1 times as far as the nearer hydrogen."""
     v = [(a + b) / 2 - c for a, b, c in zip(h1, h2, o)]
     near = F.least(distance(h1, o, mode="pbc"), distance(h2, o, mode="pbc"))
-    k = F.when(norm(v) > 0, F.greatest(F.lit(0.0), F.ceil((1.1 * near / norm(v) - 1) / 0.05 - 1e-9).cast("double"))).otherwise(F.lit(0.0))
+    k = F.when(norm(v) > 0, F.greatest(F.lit(0.0), F.ceil((F.try_divide(1.1 * near, norm(v)) - 1) / 0.05 - 1e-9).cast("double"))).otherwise(F.lit(0.0))
     return [c - (1 + 0.05 * k) * x for c, x in zip(o, v)]

@@ -7,6 +7,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import dot, image, norm
 from ..schema import FRAME
@@ -49,7 +50,7 @@ def edges(o: DataFrame, h: DataFrame, assignment: DataFrame, cutoff: float = 3.6
     don, acc = to("a"), to("b")
     if as_written:
         acc = [-v for v in acc]
-    cos = F.round(dot(don, acc) / (norm(don) * norm(acc)), 5)
+    cos = F.round(F.try_divide(dot(don, acc), norm(don) * norm(acc)), 5)
     return best.where(F.degrees(F.acos(cos)) >= min_angle).select(*FRAME, "src_o", "dst_o")
 
 
@@ -110,17 +111,21 @@ def shortest(src, dst, root, target) -> list[int] | None:
     return None
 
 
-@F.pandas_udf("array<int>")
+_PATH = T.ArrayType(T.IntegerType())
+_BONDS = T.ArrayType(T.StructType([T.StructField("src_o", T.IntegerType()), T.StructField("dst_o", T.IntegerType())]))
+
+
+@F.pandas_udf(_PATH)
 def _reached(src: pd.Series, dst: pd.Series, root: pd.Series) -> pd.Series:
     return pd.Series([reached(*x) for x in zip(src, dst, root)])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(_PATH)
 def _shortest(src: pd.Series, dst: pd.Series, root: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([shortest(*x) for x in zip(src, dst, root, target)])
 
 
-@F.pandas_udf("array<struct<src_o:int,dst_o:int>>")
+@F.pandas_udf(_BONDS)
 def _ordered(src: pd.Series, dst: pd.Series, root: pd.Series) -> pd.Series:
     return pd.Series([[{"src_o": a, "dst_o": b} for a, b in depth_first(*x)] for x in zip(src, dst, root)])
 
@@ -196,7 +201,7 @@ def wire_distances(w: DataFrame, o: DataFrame) -> DataFrame:
     by = Window.partitionBy(*FRAME).orderBy("k")
     d = [image((F.col(k) - F.lag(k).over(by)) * F.col(f"l{k}"), F.col(f"l{k}")) for k in "xyz"]
     s = c.withColumn("d", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
-    return s.groupBy(*FRAME).agg(F.max("length").alias("length"), (F.sum("d") / F.nullif(F.max("length") - 1, F.lit(0))).alias("mean_distance"))
+    return s.groupBy(*FRAME).agg(F.max("length").alias("length"), F.try_divide(F.sum("d"), F.max("length") - 1).alias("mean_distance"))
 
 
 def length_histogram(w: DataFrame, bins: int = 10, start: int | None = None, stop: int | None = None) -> DataFrame:
@@ -227,4 +232,4 @@ def bond_ratio(net: DataFrame, frames: DataFrame) -> DataFrame:
     """Bonds of each kind of root over the number of molecules (a third of the atoms, rounded down), and their total."""
     n = net.groupBy(*FRAME).agg(*(F.count(F.when(F.col("root_kind") == k, 1)).alias(k) for k in ("oh", "h3o")))
     j = frames.select(*FRAME, F.floor(F.col("n_atoms") / 3).alias("m")).join(n, FRAME, "left").na.fill(0, ["oh", "h3o"])
-    return j.select(*FRAME, (F.col("oh") / F.col("m")).alias("oh_ratio"), (F.col("h3o") / F.col("m")).alias("h3o_ratio"), ((F.col("oh") + F.col("h3o")) / F.col("m")).alias("total_ratio"))
+    return j.select(*FRAME, F.try_divide("oh", "m").alias("oh_ratio"), F.try_divide("h3o", "m").alias("h3o_ratio"), F.try_divide(F.col("oh") + F.col("h3o"), F.col("m")).alias("total_ratio"))

@@ -100,13 +100,13 @@ def fill_hydroxide(t, snapshot: int = 0, angle: float = 104.5, length: float = 0
     j = j.join(t.h.select(*FRAME, F.col("idx").alias("h"), *(F.col(k).alias(f"h{k}") for k in "xyz")), [*FRAME, "h"])
     b = [F.col(f"h{k}") - F.col(f"o{k}") for k in "xyz"]
     n = norm(b)
-    u = [x / n for x in b]
+    u = [F.try_divide(x, n) for x in b]
     r = [F.pmod(_draw(seed, F.lit(i), *FRAME), F.lit(1_000_003)) / 1_000_003.0 - 0.5 for i in range(3)]
     q = cross(u, r)
     nq = norm(q)
     half = math.radians(angle / 2)
     step = F.lit(length) / F.greatest("lx", "ly", "lz")
-    new = j.select(*FRAME, *((F.col(f"o{k}") + step * (math.cos(half) * a + math.sin(half) * c / nq)).alias(k) for k, a, c in zip("xyz", u, q)))
+    new = j.select(*FRAME, *((F.col(f"o{k}") + step * (math.cos(half) * a + math.sin(half) * F.try_divide(c, nq))).alias(k) for k, a, c in zip("xyz", u, q)))
     base = t.atoms.where(at)
     top = base.groupBy(*FRAME).agg(F.max("ord").alias("ord"), F.max("atom_id").alias("atom_id"))
     row = new.join(top, FRAME).select(*FRAME, (F.col("ord") + 1).cast("int").alias("ord"), (F.col("atom_id") + 1).alias("atom_id"), F.lit(HYDROGEN).alias("atom_type"), "x", "y", "z")

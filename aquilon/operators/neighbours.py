@@ -35,7 +35,7 @@ def cells(df: DataFrame, edge: float, halo: bool) -> DataFrame:
     for k in "xyz":
         own = F.least(F.greatest(F.floor((F.col(k) - F.floor(F.col(k))) * n[k]), F.lit(0)), n[k] - 1)
         if halo:
-            near = F.when(n[k] == 1, F.array(F.lit(0))).otherwise(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s, o=own, m=n[k]: F.pmod(o + s, m).cast("int")))
+            near = F.when(n[k] == 1, F.array(F.lit(0))).otherwise(F.array(*(F.pmod(own + F.lit(s), n[k]).cast("int") for s in (-1, 0, 1))))
             df = df.withColumn(f"c{k}", F.explode(near))
         else:
             df = df.withColumn(f"c{k}", own.cast("int"))

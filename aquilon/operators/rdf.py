@@ -49,7 +49,7 @@ def rdf(t, gr_type: str = "OO", n_bins: int = 50, start: float = 0.01, stop: flo
     lo, hi = F.lit(start) + F.col("bin") * step, F.lit(start) + (F.col("bin") + 1) * step
     shell = sphere_volume(hi) - sphere_volume(lo)
     n = F.coalesce(F.try_element_at("hits", F.col("bin")), F.lit(0)).cast("double")
-    g = full.select(*FRAME, "bin", hi.alias("r"), (n / n_ref / shell / (F.col("n_b") / F.col("volume"))).alias("g"))
+    g = full.select(*FRAME, "bin", hi.alias("r"), F.try_divide(n * F.col("volume"), n_ref * shell * F.col("n_b")).alias("g"))
     if per_frame or snapshot is not None:
         return g.select(*FRAME, F.lit(gr_type).alias("gr_type"), "bin", "r", "g")
     return g.groupBy("trajectory_id", "bin").agg(F.avg("r").alias("r"), F.avg("g").alias("g")).select("trajectory_id", F.lit(gr_type).alias("gr_type"), "bin", "r", "g")

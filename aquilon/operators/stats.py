@@ -35,7 +35,7 @@ def acf(df: DataFrame, value: str, keys=("trajectory_id",), order: str = "snapsh
         p = p.where(F.col("j") - F.col("i") <= max_lag)
     g = p.groupBy(*keys, (F.col("j") - F.col("i")).alias("lag")).agg(F.avg(F.col("v") * F.col("u")).alias("c"))
     zero = g.where("lag = 0").select(*keys, F.col("c").alias("c0"))
-    return g.join(zero, list(keys)).select(*keys, "lag", (F.col("c") / F.col("c0")).alias("acf"))
+    return g.join(zero, list(keys)).select(*keys, "lag", F.try_divide("c", "c0").alias("acf"))
 
 
 def cross_correlation(x: DataFrame, y: DataFrame, keys=("trajectory_id",), order: str = "snapshot", x_value: str = "value", y_value: str = "value", max_lag: int | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def cross_correlation(x: DataFrame, y: DataFrame, keys=("trajectory_id",), order
     p = a.join(b, list(keys)).join(size, list(keys)).withColumn("lag", F.col("i") - F.col("j") - F.col("middle")).where("lag >= 0")
     if max_lag is not None:
         p = p.where(F.col("lag") <= max_lag)
-    return p.groupBy(*keys, "lag").agg((F.sum(F.col("v") * F.col("u")) / F.first("scale")).alias("correlation"))
+    return p.groupBy(*keys, "lag").agg(F.try_divide(F.sum(F.col("v") * F.col("u")), F.first("scale")).alias("correlation"))
 
 
 def histogram(df: DataFrame, value: str, start: float, stop: float, points: int, keys=()) -> DataFrame:
