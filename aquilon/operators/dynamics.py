@@ -154,7 +154,7 @@ def lag_msd(path: DataFrame, keys=("trajectory_id",), max_lag: int | None = None
     if max_lag is not None:
         j = j.where(F.col("q") - F.col("pos") <= max_lag)
     d = [F.col(f"b{k}") - F.col(k) for k in "xyz"]
-    return j.groupBy(*keys, (F.col("q") - F.col("pos")).alias("lag")).agg(F.avg(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("msd"))
+    return j.groupBy(*keys, (F.col("q") - F.col("pos")).cast("long").alias("lag")).agg(F.avg(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("msd"))
 
 
 def chunked_msd(track: DataFrame) -> DataFrame:

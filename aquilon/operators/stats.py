@@ -33,7 +33,7 @@ def acf(df: DataFrame, value: str, keys=("trajectory_id",), order: str = "snapsh
     p = s.join(b, list(keys)).where("j >= i")
     if max_lag is not None:
         p = p.where(F.col("j") - F.col("i") <= max_lag)
-    g = p.groupBy(*keys, (F.col("j") - F.col("i")).alias("lag")).agg(F.avg(F.col("v") * F.col("u")).alias("c"))
+    g = p.groupBy(*keys, (F.col("j") - F.col("i")).cast("long").alias("lag")).agg(F.avg(F.col("v") * F.col("u")).alias("c"))
     zero = g.where("lag = 0").select(*keys, F.col("c").alias("c0"))
     return g.join(zero, list(keys)).select(*keys, "lag", F.try_divide("c", "c0").alias("acf"))
 
