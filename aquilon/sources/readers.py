@@ -15,10 +15,10 @@ _EDGES = [("x", 0), ("y", 1), ("z", 2)]
 def _text(spark: SparkSession, path, sep: str | None = None, file_name: str | None = None, target: str | None = None) -> DataFrame:
     """Rows (value, file): pieces between `sep`, or whole files. file_name: only files of that name, in any folder below;
     target: only where a folder's name holds it."""
-    r = spark.read.option("lineSep", sep) if sep else spark.read.option("wholetext", True)
+    r = spark.read
     if file_name:
         r = r.option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
-    t = r.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    t = r.text(path, wholetext=sep is None, lineSep=sep).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     return t.where(F.exists(F.slice(F.split("file", "/"), 1, F.size(F.split("file", "/")) - 1), lambda d: d.contains(target))) if target else t
 
 
@@ -52,6 +52,32 @@ def rescaled(atoms: DataFrame, frames: DataFrame, coords: str = "cartesian_no_or
     return _normalise(atoms, frames, coords)
 
 
+def dump_blocks(text: DataFrame) -> DataFrame:
+    """One row for each frame of a dump split at its first line: adds lines and timestep."""
+    b = text.where(F.length(F.trim("value")) > 0).withColumn("lines", F.split(F.regexp_replace("value", r"\r?\n\s*$", ""), r"\r?\n"))
+    return b.withColumn("timestep", F.trim(F.col("lines")[0]).cast("long"))
+
+
+def dump_frames(b: DataFrame) -> DataFrame:
+    """frames of dump blocks (trajectory_id, snapshot, timestep, lines, file)."""
+    box = [_tokens(F.col("lines")[4 + i]) for i in range(3)]
+    n = F.trim(F.col("lines")[2]).cast("int")
+    tilt = F.exists(F.array(*(F.try_element_at(t, F.lit(3)).cast("double") for t in box)), lambda v: F.coalesce(v != 0, F.lit(False)))
+    return b.select(
+        "trajectory_id", "snapshot", "timestep", n.alias("n_atoms"),
+        *(box[i][j].cast("double").alias(f"{k}{s}") for k, i in _EDGES for j, s in ((0, "lo"), (1, "hi"))),
+        *(F.abs(box[i][0].cast("double") - box[i][1].cast("double")).alias(f"l{k}") for k, i in _EDGES),
+        (F.size("lines") - 8 - n).alias("surplus"), tilt.alias("tilted"), "file",
+    )
+
+
+def dump_atoms(b: DataFrame) -> DataFrame:
+    """Atom rows of dump blocks as written, with is_scaled by the header."""
+    n = F.trim(F.col("lines")[2]).cast("int")
+    rows = b.select("trajectory_id", "snapshot", F.col("lines")[7].alias("header"), F.posexplode(F.slice("lines", F.lit(9), n)).alias("ord", "line")).withColumn("t", _tokens(F.col("line")))
+    return rows.select(*FRAME, "ord", F.col("t")[0].cast("double").cast("long").alias("atom_id"), F.col("t")[1].cast("double").cast("int").alias("atom_type"), *(F.col("t")[2 + i].cast("double").alias(k) for k, i in _EDGES), F.col("header").rlike(r"\bxs\b").alias("is_scaled"))
+
+
 def read_dump(spark: SparkSession, path, coords: str | None = None, snapshot: int | None = None, file_name: str | None = None, target: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Dump files, one row for each frame before parsing.
 
@@ -59,21 +85,10 @@ def read_dump(spark: SparkSession, path, coords: str | None = None, snapshot: in
     atoms counts; frames.surplus says how many rows stood beyond it. Frames are numbered by time step, then place.
     A third column of box bounds (tilt) is kept as frames.tilted; boxes are taken as orthogonal. snapshot: only that frame.
     """
-    b = _text(spark, path, "ITEM: TIMESTEP\n", file_name, target).where(F.length(F.trim("value")) > 0)
-    b = b.withColumn("lines", F.split(F.regexp_replace("value", r"\r?\n\s*$", ""), r"\r?\n")).withColumn("timestep", F.trim(F.col("lines")[0]).cast("long"))
-    b = _numbered(b, ["timestep", "at"])
+    b = _numbered(dump_blocks(_text(spark, path, "ITEM: TIMESTEP\n", file_name, target)), ["timestep", "at"])
     if snapshot is not None:
         b = b.where(F.col("snapshot") == snapshot)
-    box = [_tokens(F.col("lines")[4 + i]) for i in range(3)]
-    n = F.trim(F.col("lines")[2]).cast("int")
-    frames = b.select(
-        "trajectory_id", "snapshot", "timestep", n.alias("n_atoms"),
-        *(box[i][j].cast("double").alias(f"{k}{s}") for k, i in _EDGES for j, s in ((0, "lo"), (1, "hi"))),
-        *(F.abs(box[i][0].cast("double") - box[i][1].cast("double")).alias(f"l{k}") for k, i in _EDGES),
-        (F.size("lines") - 8 - n).alias("surplus"), F.exists(F.array(*(F.try_element_at(t, F.lit(3)).cast("double") for t in box)), lambda v: F.coalesce(v != 0, F.lit(False))).alias("tilted"), "file",
-    )
-    rows = b.select("trajectory_id", "snapshot", F.col("lines")[7].alias("header"), F.posexplode(F.slice("lines", F.lit(9), n)).alias("ord", "line")).withColumn("t", _tokens(F.col("line")))
-    atoms = rows.select(*FRAME, "ord", F.col("t")[0].cast("double").cast("long").alias("atom_id"), F.col("t")[1].cast("double").cast("int").alias("atom_type"), *(F.col("t")[2 + i].cast("double").alias(k) for k, i in _EDGES), F.col("header").rlike(r"\bxs\b").alias("is_scaled"))
+    frames, atoms = dump_frames(b), dump_atoms(b)
     if coords is not None:
         return _normalise(atoms.drop("is_scaled"), frames, coords), frames
     j = atoms.join(frames.select(*FRAME, "xlo", "ylo", "zlo", "lx", "ly", "lz"), FRAME)
@@ -156,9 +171,10 @@ def read_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_rdf(spark: SparkSession, path: str, suffix: str = "_RDF_averaged.csv") -> DataFrame:
     """Two-row files [g; r] named <label><suffix>: label, bin, r, g."""
-    t = _text(spark, path, None, f"*{suffix}").withColumn("rows", F.split(F.trim("value"), r"\r?\n"))
+    named = r"([^/]*)" + suffix.replace(".", r"\.") + r"(?:/[^/]*)?$"  # a file, or a folder of one part
+    t = _text(spark, path, None, "*").where(F.col("file").rlike(named)).withColumn("rows", F.split(F.trim("value"), r"\r?\n"))
     num = lambda i: F.transform(F.split(F.col("rows")[i], ","), lambda s: F.trim(s).cast("double"))
-    label = F.regexp_extract("file", r"([^/]*)" + suffix.replace(".", r"\.") + "$", 1)
+    label = F.regexp_extract("file", named, 1)
     return t.select(label.alias("label"), F.posexplode(F.arrays_zip(num(0).alias("g"), num(1).alias("r"))).alias("bin", "p")).select("label", "bin", "p.r", "p.g")
 
 

@@ -72,7 +72,7 @@ def write_xdatcar(atoms: DataFrame, frames: DataFrame, path: str) -> None:
     """Frames as XDATCAR, oxygens first, each with its header."""
     c = atoms.groupBy(*FRAME).agg(F.count(F.when(F.col("atom_type") == OXYGEN, 1)).alias("no"), F.count(F.when(F.col("atom_type") == HYDROGEN, 1)).alias("nh"))
     f = frames.join(c, FRAME)
-    row = lambda i: F.concat_ws("    ", *(F.format_number(F.col(f"l{k}"), "0.000000") if j == i else F.lit("0.000000") for j, k in enumerate("xyz")))
+    row = lambda i: F.concat_ws("    ", *(F.format_string("%.6f", F.col(f"l{k}")) if j == i else F.lit("0.000000") for j, k in enumerate("xyz")))
     text = [F.lit("unknown system"), F.lit("           1"), row(0), row(1), row(2), F.lit("    O    H"), F.concat_ws("   ", "no", "nh"), F.concat(F.lit("Direct configuration=     "), (F.col("snapshot") + 1).cast("string"))]
     w = Window.partitionBy(*FRAME).orderBy(F.col("atom_type").desc(), "ord")
     body = atoms.withColumn("seq", F.row_number().over(w).cast("long")).select(*FRAME, "seq", F.concat_ws(" ", "x", "y", "z").alias("value"))
