@@ -17,7 +17,7 @@ _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 _CACHE: dict[bytes, bytes] = {}
 
 
-def _ids(spec: str, text: bytes, cache_max: int = 600_000) -> bytes:
+def _ids(spec: str, text: bytes, cache_max: int = 1_000_000) -> bytes:
     """The text's ids, 4 little-endian bytes each. White space only parts words in this kind of
     tokenizer, so the ids of the runs between ASCII white space are those of the whole text."""
     runs = (text if b"<|" in text else text.lower()).split()  # the tokenizer folds case itself, but for special strings
@@ -26,10 +26,15 @@ def _ids(spec: str, text: bytes, cache_max: int = 600_000) -> bytes:
         if len(_CACHE) + len(new) > cache_max:
             _CACHE.clear()
             new = list(set(runs))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        # letters and a final stop or comma are pre-tokens of their own: the library sees the letters once
+        stem = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[:-1].isalpha()}
+        todo = [w for w in {*new, *stem.values(), b".", b","} if w not in _CACHE and w not in stem]
+        for i in range(0, len(todo), 4096):
+            part = todo[i : i + 4096]
             for w, e in zip(part, tokenizer(spec).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 _CACHE[w] = np.array(e.ids, "<u4").tobytes()
+        for w, s in stem.items():
+            _CACHE[w] = _CACHE[s] + _CACHE[w[-1:]]
     return b"".join(map(_CACHE.__getitem__, runs))
 
 
