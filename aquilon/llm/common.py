@@ -51,7 +51,14 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what saved() wrote for df; nothing lazy may need it any more."""
+    _remove(df.sparkSession, df._scratch)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

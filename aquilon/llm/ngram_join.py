@@ -1,6 +1,6 @@
 """N-gram Jaccard join: group counts of hashed shingles as points of an R-tree.
 
-A set of shingle hashes is cut into groups by hash ranges. The counts of 64 groups make a document a point; the summed
+A set of shingle hashes is cut into groups by hash ranges. The counts of 256 groups make a document a point; the summed
 coordinate minima of two points bound the overlap of their sets from above, and the maxima of a tree node bound
 that of everything below it. One tree over a whole corpus would be searched almost in full, as random texts of one
 length have nearly equal counts; so documents are first routed by finer groups: two linked sets differ in at most D
@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, components, deal, id_array, mix, n_parts, pack, release, row_blocks, saved, text_buffers, unpack, unpack_all
+from .common import U, Rolling, components, deal, discard, id_array, mix, n_parts, pack, release, row_blocks, saved, text_buffers, unpack, unpack_all
 
-GROUPS = 64
+GROUPS = 256  # counts of one byte; with fewer, the bound says nothing of sets of a few thousand
 LEAF = 32
+FULL = 255
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -94,6 +95,15 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int):
     return h[new], d[new]
 
 
+def _names(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash for each set; 0 for an empty one."""
+    out = np.zeros(n.size, U)
+    some = np.flatnonzero(n)
+    if some.size:
+        out[some] = mix(np.add.reduceat(mix(h ^ U(0x14057B7EF767814F)), at[some]) + n[some].astype(U))
+    return out
+
+
 def _routes(h: np.ndarray, d: np.ndarray, n: np.ndarray, th: Threshold):
     """(key, document) of every routing group: the sum of mixed hashes in it. A set with more empty groups than spare
     ones also takes part in cells for its empty groups; any two sets that agree on empty groups alone are both such."""
@@ -128,13 +138,13 @@ def _profile(batches, parts: int, size: int, th: Threshold, limit: int, flush_at
 
     def flush():
         key, cls = (np.concatenate(x) for x in zip(*held))
-        pairs = np.stack([key, cls.view(U)], 1)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs = pairs[order]
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:] != pairs[:-1]).any(1)
-        key, cls = pairs[new, 0], pairs[new, 1]
-        rows = [(1, p, b) for p, b in deal((key % U(parts)).astype(np.int32), key, cls)]
+        part = (key % U(parts)).astype(np.int64)
+        order = np.lexsort((cls, part))
+        key, cls, part = key[order], cls[order], part[order]
+        rows = []
+        for at in np.split(np.arange(key.size), np.flatnonzero(np.diff(part)) + 1):
+            names, n = np.unique(cls[at], return_counts=True)
+            rows.append((1, int(part[at[0]]), np.int64(names.size).tobytes() + names.tobytes() + n.astype(np.uint32).tobytes() + key[at].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
 
     for batch in batches:
@@ -144,15 +154,13 @@ def _profile(batches, parts: int, size: int, th: Threshold, limit: int, flush_at
             h, d = shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
             n = np.bincount(d, minlength=j - i)
             at = np.cumsum(n) - n
-            cls = np.zeros(j - i, U)
-            some = np.flatnonzero(n)
-            if some.size:
-                cls[some] = mix(np.add.reduceat(mix(h ^ U(0x14057B7EF767814F)), at[some]) + n[some].astype(U))
-            counts = np.zeros((j - i, GROUPS), np.uint32)
-            np.add.at(counts, (d, (h >> U(58)).astype(np.int64)), 1)
+            cls = _names(h, at, n)
+            counts = np.bincount(d * GROUPS + (h >> U(56)).astype(np.int64), minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
+            counts[(counts > 254).any(1)] = FULL  # too many for a byte: such a set is never ruled out by counts
+            counts = counts.astype(np.uint8)
             blob = pack(ids[i:j], n, cls.view(np.int64)) + counts.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((0, -1, np.int64(j - i).tobytes() + blob), _OUT)], schema=_OUT)
-            if some.size:
+            if h.size:
                 key, doc = _routes(h, d, n, th)
                 held.append((key, cls[doc].view(np.int64)))
                 n_held += key.size
@@ -169,14 +177,25 @@ def _unprofile(batches):
             n = int(np.frombuffer(b, np.int64, 1)[0])
             doc, size, cls = unpack(b[8 : 8 + 24 * n], *_PROFILE)
             counts = np.frombuffer(b, np.uint8, -1, 8 + 24 * n)
-            offs = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (4 * GROUPS)).tobytes())
+            offs = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * GROUPS).tobytes())
             vec = pa.Array.from_buffers(pa.binary(), n, [None, offs, pa.py_buffer(counts.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == -(2**63)), pa.array(size), pa.array(cls), vec], ["doc_id", "n", "cls", "vec"])
 
 
 def _cells(table: pa.Table, parts: int) -> pa.Table:
     """The cells of one part with two sets or more; of equal lists one is kept."""
-    key, cls = unpack_all(table["blob"].to_pylist(), U, np.int64)
+    keys, sets = [], []
+    for b in table["blob"].to_pylist():
+        n = int(np.frombuffer(b, np.int64, 1)[0])
+        sets.append(np.repeat(np.frombuffer(b, np.int64, n, 8), np.frombuffer(b, np.uint32, n, 8 + 8 * n)))
+        keys.append(np.frombuffer(b, U, -1, 8 + 12 * n))
+    key, cls = np.concatenate(keys), np.concatenate(sets)
+    order = np.argsort(key)  # only keys that come again are sorted in full
+    again = key[order[1:]] == key[order[:-1]]
+    twin = np.zeros(key.size, bool)
+    twin[order[1:][again]] = True
+    twin[order[:-1][again]] = True
+    key, cls = key[twin], cls[twin]
     order = np.lexsort((cls, key))
     key, cls = key[order], cls[order]
     new = np.ones(key.size, bool)
@@ -220,6 +239,8 @@ class Tree:
         at = np.arange(0, cls.size, LEAF)
         self.at = np.append(at, cls.size)
         self.top = np.maximum.reduceat(self.vec, at, 0)
+        self.free = self.vec.min(1) == FULL
+        self.frees = np.logical_or.reduceat(self.free, at)
         self.least = np.minimum.reduceat(self.n, at)
         self.most = np.maximum.reduceat(self.n, at)
         self.low, self.high = np.minimum.reduceat(self.comp, at), np.maximum.reduceat(self.comp, at)
@@ -227,8 +248,8 @@ class Tree:
     def _near(self, a: int, th: Threshold, cross: bool) -> np.ndarray:
         """Leaves up to a that can hold partners of a's points."""
         b = slice(0, a + 1)
-        bound = np.minimum(self.top[b], self.top[a]).sum(1)
-        ok = bound >= th.overlap(self.least[b] + self.least[a])
+        bound = np.minimum(self.top[b], self.top[a]).sum(1, dtype=np.int64)
+        ok = (bound >= th.overlap(self.least[b] + self.least[a])) | self.frees[b] | self.frees[a]
         ok &= (self.most[b] * th.den >= self.least[a] * th.num) & (self.most[a] * th.den >= self.least[b] * th.num)
         if cross:
             ok &= (self.low[b] != self.high[b]) | (self.low[a] != self.high[a]) | (self.low[b] != self.low[a])
@@ -242,8 +263,10 @@ class Tree:
             open_ = np.ones(i.size, bool)
             for b in self._near(a, th, cross):
                 j = np.arange(self.at[b], self.at[b + 1])
-                bound = np.minimum(self.vec[i][:, None], self.vec[j][None]).sum(2)
-                ok = bound >= th.overlap(self.n[i][:, None] + self.n[j][None])
+                need = th.overlap(self.n[i][:, None] + self.n[j][None])
+                bound = np.minimum(self.vec[i][:, None], self.vec[j][None]).sum(2, dtype=np.int32)
+                ok = (bound >= need) | self.free[i][:, None] | self.free[j][None]
+                ok &= np.minimum(self.n[i][:, None], self.n[j][None]) >= need
                 ok &= j[None] < i[:, None]
                 if cross:
                     ok &= self.comp[i][:, None] != self.comp[j][None]
@@ -281,7 +304,7 @@ def _search(batches, th: Threshold, cross: bool):
     for batch in batches:
         lists = np.asarray(batch["list"])
         cls, n, comp = (np.asarray(batch[c]) for c in ("cls", "n", "comp"))
-        vec = np.frombuffer(b"".join(batch["vec"].to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int32)
+        vec = np.frombuffer(b"".join(batch["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
         cuts = np.flatnonzero(np.diff(lists)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, lists.size]):
             if hi <= lo:
@@ -305,22 +328,41 @@ def _sets(batches, size: int, limit: int):
         for i, j in row_blocks(offs, limit):
             h, d = shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
             at = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=j - i))))
-            yield pa.RecordBatch.from_arrays([batch["cls"].slice(i, j - i), pa.array([h[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], ["cls", "h"])
-
-
-def _verify(batches, th: Threshold):
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            both = np.sort(np.concatenate((x, y)))
-            same = int((both[1:] == both[:-1]).sum())
-            keep.append(th.den * same >= th.num * (x.size + y.size - same))
-        m = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch["a"].filter(m), batch["b"].filter(m)], ["a", "b"])
-
-
-def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20) -> DataFrame:
+            cls = _names(h, at[:-1], np.diff(at)).view(np.int64)
+            mask = pa.array(cls == np.asarray(batch["cls"].slice(i, j - i)))  # not the other rows of one doc_id
+            rows = pa.RecordBatch.from_arrays([batch["cls"].slice(i, j - i), pa.array([h[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], ["cls", "h"])
+            yield rows.filter(mask)
+
+
+def _verify(pairs: pa.Table, sets: pa.Table, th: Threshold) -> pa.Table:
+    """The pairs of one block whose sets are similar enough."""
+    held = {c: np.frombuffer(h, U) for c, h in zip(sets["cls"].to_pylist(), sets["h"].to_pylist())}
+    keep = []
+    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+        x, y = held[a], held[b]
+        need = th.overlap(x.size + y.size)
+        if min(x.size, y.size) < need:
+            keep.append(False)
+            continue
+        both = np.sort(np.concatenate((x, y)), kind="stable")
+        keep.append(int((both[1:] == both[:-1]).sum()) >= need)
+    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _clustered(spark, lists: DataFrame, cluster_max: int) -> DataFrame:
+    """Cells that share sets put together, as a pair of near copies shares dozens of cells: a cluster of up to cluster_max sets
+    becomes one list; larger ones, which chance links grow, keep their cells. Either way two sets of one cell stay in one list."""
+    least = lists.groupBy("list").agg(F.min("cls").alias("a"))
+    edges = lists.join(least, "list").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    of = saved(components(spark, edges))
+    small = of.groupBy("component").count().where(F.col("count") <= cluster_max).select("component")
+    of = saved(of.join(small.withColumn("is_small", F.lit(True)), "component", "left"))
+    whole = of.where("is_small").select(F.col("component").alias("list"), F.col("id").alias("cls"))
+    rest = lists.join(of.where("is_small IS NULL").select(F.col("id").alias("cls")), "cls").select("list", "cls")
+    return saved(whole.union(rest))
+
+
+def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20, cluster_max: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
     Two documents link when the Jaccard similarity of their sets of `size`-word shingles is num / den or more; a document with
@@ -328,7 +370,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     the smallest doc_id reachable by links. Equal sets are one class from the start. Rows that share a doc_id are
     rows of their own, judged by their texts; rows with a null doc_id link, but name no component unless alone, where it is null.
 
-    Two rounds verify candidates on whole sets: the first tries one partner for each set in each cell; the second tries all
+    Two rounds verify candidates on whole sets: the first tries one partner for each set; the second tries all
     pairs that are still in different components, so no link is lost and large groups of near copies cost few
     comparisons. Shingles and sets are known by 64-bit hashes.
     """
@@ -338,11 +380,12 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     parts = n_parts(d)
     held = saved(d.mapInArrow(lambda it: _profile(it, parts, size, th, block_bytes), "kind int, part int, blob binary"), "kind")
     prof = saved(held.where("kind = 0").select("blob").mapInArrow(_unprofile, "doc_id long, n long, cls long, vec binary"))
-    cells = held.where("kind = 1").select("part", "blob").groupBy("part").applyInArrow(lambda t: _cells(t, parts), "part int, blob binary")
-    lists = saved(cells.groupBy("part").applyInArrow(_lists, "list long, cls long"))
+    lists = saved(held.where("kind = 1").select("part", "blob").groupBy("part").applyInArrow(lambda t: _cells(t, parts), "part int, blob binary").groupBy("part").applyInArrow(_lists, "list long, cls long"))
+    discard(held)
     release(spark)
-    points = lists.select("cls").distinct().join(prof.where("n > 0"), "cls").groupBy("cls").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "n", "vec")).alias("p")).select("cls", F.col("p.n").alias("n"), F.col("p.vec").alias("vec"), F.col("p.rep").alias("rep"))
-    points = saved(points)
+    lists = _clustered(spark, lists, cluster_max)
+    first_row = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "n", "vec")).alias("p")
+    points = saved(lists.select("cls").distinct().join(prof.where("n > 0"), "cls").groupBy("cls").agg(first_row).select("cls", F.col("p.n").alias("n"), F.col("p.vec").alias("vec"), F.col("p.rep").alias("rep")))
 
     def candidates(comp: DataFrame | None) -> DataFrame:
         cross = comp is not None
@@ -355,22 +398,31 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
         return saved(rows.mapInArrow(lambda it: _search(it, th, cross), "a long, b long").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        reps = wanted.join(points.select("cls", "rep"), "cls").select("cls", F.when(F.col("rep") < 2**63 - 1, F.col("rep")).alias("rep"))
-        texts = d.join(reps, d.doc_id.eqNullSafe(reps.rep))
-        sets = saved(texts.select("cls", "text").mapInArrow(lambda it: _sets(it, size, block_bytes), "cls long, h binary").groupBy("cls").agg(F.first("h").alias("h")))
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
-        return saved(both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, th), "a long, b long"))
-
-    first = candidates(None)
+        """The linked ones of candidate pairs. Sets of one cluster of candidates meet in blocks of 64 by 64, so a set travels
+        once for each block of its cluster, not once for each pair."""
+        w = Window.partitionBy("component").orderBy("id")
+        block = F.floor((F.row_number().over(w) - 1) / 64).cast("int")
+        place = saved(components(spark, pairs).select(F.col("id").alias("cls"), F.pmod(F.xxhash64("component"), F.lit(4 * parts)).cast("int").alias("bucket"), block.alias("block")))
+        at = pairs.join(place.select(F.col("cls").alias("a"), "bucket", F.col("block").alias("x")), "a").join(place.select(F.col("cls").alias("b"), F.col("block").alias("y")), "b")
+        at = saved(at.select("bucket", "x", "y", "a", "b"))
+        ends = at.select("bucket", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct().toDF("s_bucket", "s_x", "s_y", "cls")
+        reps = place.select("cls").join(points.select("cls", "rep"), "cls").select("cls", F.when(F.col("rep") < 2**63 - 1, F.col("rep")).alias("rep"))
+        sets = d.join(reps, d.doc_id.eqNullSafe(reps.rep)).select("cls", "text").mapInArrow(lambda it: _sets(it, size, block_bytes), "cls long, h binary")
+        key = ["bucket", "x", "y"]
+        out = saved(at.groupBy(*key).cogroup(ends.join(sets, "cls").groupBy(*(f"s_{k}" for k in key))).applyInArrow(lambda p, q: _verify(p, q, th), "a long, b long"))
+        release(spark)
+        return out
+
+    # first each set with one partner, the smallest that any cell offers
+    first = saved(candidates(None).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = verified(first)
     comp = saved(components(spark, links))
-    rest = candidates(comp).join(first, ["a", "b"], "left_anti")
-    more = verified(saved(rest))
+    more = verified(saved(candidates(comp).join(first, ["a", "b"], "left_anti")))
     comp = saved(components(spark, links.union(more)))
     release(spark)
     every = prof.select("doc_id", "n", "cls").join(comp.select(F.col("id").alias("cls"), "component"), "cls", "left")
     every = saved(every.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component")))
+    discard(prof)
     roots = every.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     some = every.where("n > 0").join(roots, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.union(every.where("n = 0").select("doc_id", "n", F.col("doc_id")))
