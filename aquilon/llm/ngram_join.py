@@ -428,9 +428,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     return some.union(every.where("n = 0").select("doc_id", "n", F.col("doc_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """The rows of docs without those that link, directly or over others, to a document with a smaller doc_id. All columns stay."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = jaccard_components(docs, size, num, den).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 4-word shingles at 0.85 the one with the smallest doc_id stays."""
-    return ngram_join.keep_one(docs)
+    """Of documents linked by 5-word shingles at 0.8 the one with the smallest doc_id stays."""
+    return ngram_join.keep_one(docs, size=5, num=80, den=100)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

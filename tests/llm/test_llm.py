@@ -395,3 +395,22 @@ def test_pipeline_stages(spark, sf):
     odd = docs(spark, ODD).withColumn("lang", F.lit("en")).withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.lit(1).cast("long"))
     for _, stage in P.STAGES:
         assert stage(spark, odd, sf).count() >= 0 and stage(spark, odd.where("false"), sf).count() == 0
+
+
+def test_near_duplicate_stage(spark, sf):
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (5, 8, 50, 51, 120, 300)]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        if i % 3 == 0:
+            w += [f"x{rng.randrange(5000)}" for _ in range(int(len(w) * rng.choice([0.1, 0.2, 0.3])))]
+        for _ in range(rng.choice([0, 1, 2, 5])):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    want = ngram_join.brute_force(rows, 5, 80, 100)
+    kept = {r.doc_id for r in P.near_duplicate_stage(spark, common.saved(docs(spark, rows)), sf).collect()}
+    assert kept == {i for i, (_, c) in want.items() if c == i}
+    assert kept < {i for i, (_, c) in ngram_join.brute_force(rows).items() if c == i}
