@@ -29,7 +29,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.report(_t(spark, sf_dir, "documents"))
+    return substring_dedup.report(_t(spark, sf_dir, "documents"), whole_lines=True)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

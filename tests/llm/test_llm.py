@@ -234,6 +234,15 @@ def test_units_by_brute_force(spark):
     assert {r.doc_id: r.text for r in substring_dedup.report(docs(spark, rows)).collect()} == want
 
 
+def test_short_lines_and_verse(spark):
+    verse = "".join(f"{a} {b} {c}. " for a in "abcd" for b in ("of", "to") for c in ("x1", "y2", "z3")).rstrip()  # 72 words, no unit over 4 bytes
+    rows = [(1, "Share this\nFirst text.\n- - -\n"), (2, "Second text.\n share THIS!\n- - -\nHe said: Share this"), (3, "Share this"), (4, "Poem: " + verse), (5, "Another: " + verse + " Its end."), (6, "é\n\nx"), (7, "É\né\ny")]
+    want = {**dict(rows), 2: "Second text.\n- - -\nHe said: Share this", 3: "", 5: "Another: a of x1. Its end.", 7: "É\ny"}
+    d = common.saved(docs(spark, rows))
+    assert {r.doc_id: r.text for r in substring_dedup.report(d, whole_lines=True).collect()} == want
+    assert {r.doc_id: r.text for r in substring_dedup.dedup_units(d).collect()} == want
+
+
 # ---------------------------------------------------------------- 6 and 9
 
 
