@@ -15,6 +15,11 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
+#: Stops beyond ASCII, which need no white space after them: ideographic, full-width, Arabic, Urdu, Devanagari, Armenian, Ethiopic, Burmese, Khmer.
+_STOPS = np.array([int.from_bytes(c.encode(), "big") for c in "。！？．｡؟۔।॥։።။។"])
+_LEAD = np.zeros(256, np.int64)  # the length of a character that such a byte begins, if it may be a stop
+for _c in "。！？．｡؟۔।॥։።။។":
+    _LEAD[_c.encode()[0]] = len(_c.encode())
 #: Bytes that count: non-ASCII, letters (A-Z folded) and digits.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _COUNTS = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
@@ -25,13 +30,21 @@ _IS_LINE = 1 << 31
 
 def units(buf: np.ndarray, offs: np.ndarray):
     """(starts, size in counted bytes, hash) of the units of all texts in a buffer. A unit ends after a
-    newline, or after white space that follows a full stop, ! or ?. White space, case and punctuation don't count."""
+    newline, after white space that follows a full stop, ! or ?, or after a stop beyond ASCII with the white space that may follow it. White space, case and punctuation don't count."""
     n = buf.size
     start = np.zeros(n, bool)
     start[offs[:-1][offs[:-1] < n]] = True
-    white = _WHITE[buf]
+    white = _WHITE[buf] & ~start  # a text's first sign follows no stop
     start[1:] |= buf[:-1] == 10
     start[2:] |= white[1:-1] & _STOP[buf[:-2]]
+    size = _LEAD[buf]
+    for k in (2, 3):
+        i = np.flatnonzero(size == k)
+        code = sum(buf[i + j].astype(np.int64) << (8 * (k - 1 - j)) for j in range(k))
+        end = i[np.isin(code, _STOPS)] + k
+        end = end[end < n]
+        end += white[end]
+        start[end[end < n]] = True
     at = np.flatnonzero(start)
     return at, *_digests(buf, at)
 

@@ -243,6 +243,18 @@ def test_short_lines_and_verse(spark):
     assert {r.doc_id: r.text for r in substring_dedup.dedup_units(d).collect()} == want
 
 
+def test_stops_beyond_ascii(spark):
+    zh = "这是一个在许多文件中重复出现的很长的段落。它的第二句话也足够长可以单独去掉！"
+    ar = "هذه فقرة طويلة تتكرر في كثير من الوثائق؟ "
+    rows = [(1, "开头。" + zh + "结尾一"), (2, "另一个开头？" + zh + "结尾二"), (3, "أول؟ " + ar + "نهاية"), (4, "ثان؟ " + ar + "خاتمة")]
+    got = {r.doc_id: r.text for r in substring_dedup.report(common.saved(docs(spark, rows))).collect()}
+    assert got == {**dict(rows), 2: "另一个开头？结尾二", 4: "ثان؟ خاتمة"}
+    # a blank at the start of a text does not follow the stop at the end of the text before
+    b = ["One.", " two. Three", "四。", " five"]
+    offs = np.cumsum([0] + [len(x.encode()) for x in b])
+    assert substring_dedup.units(np.frombuffer("".join(b).encode(), np.uint8), offs)[0].tolist() == [0, 4, 10, 15, 21]
+
+
 # ---------------------------------------------------------------- 6 and 9
 
 
