@@ -75,10 +75,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
                 take(w, n)
                 take(room, n)
                 continue
-            low = [v for v in small[:3] if left[v] - (v == w) > 0]
-            if not low or low[0] > room:
+            if any(left[v] == 0 for v in small[:3]):  # used-up lengths don't hide the shortest pieces left
                 small = [v for v in small if left[v] > 0]
-                low = [v for v in small[:3] if left[v] - (v == w) > 0]
+            low = [v for v in small[:3] if left[v] - (v == w) > 0]
             if not low or low[0] > room:  # (a)
                 out.append((c, [w]))
                 take(w, c)

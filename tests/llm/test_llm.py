@@ -171,6 +171,12 @@ def test_plan_is_whole_and_tight():
         packing.plan({31: 1}, 30)
 
 
+def test_plan_looks_past_used_up_lengths():
+    # 10 and 10 fill a sequence; beside 3 both 1 and 11 fit then, so none of them is fixed to it alone
+    p = packing.plan({11: 1, 10: 2, 3: 1, 1: 1}, 20)
+    assert sum(n for n, _ in p) == 2 and sorted(w for n, x in p for w in x * n) == [1, 3, 10, 10, 11]
+
+
 # ---------------------------------------------------------------- 4 and 5
 
 
