@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 _SCHEMA = "doc_id long, text_key long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -89,13 +90,7 @@ class Matcher:
                 p = g.patterns[i]
                 spans.append((counted, counted + p.count(b" ") - 1))
                 found |= self.owner[p]
-        merged: list[list[int]] = []
-        for s, e in sorted(spans):
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], e)
-            else:
-                merged.append([s, e])
-        return len(ws), merged, sorted(found)
+        return len(ws), _merge(spans), sorted(found)
 
 
 _MATCHERS: dict[int, Matcher] = {}
@@ -108,17 +103,22 @@ def _matcher(held, window: int) -> Matcher:
     return _MATCHERS[held.id]
 
 
-def _scan(batches, held, window):
+def _scan(batches, held, window, last):
+    """Adds the finds of one chunk to those of the chunks before; the last chunk drops the text."""
     m = _matcher(held, window)
     for batch in batches:
         rows = [m.scan(t) for t in batch["text"].to_pylist()]
+        if "n_words" in batch.schema.names:
+            before = zip(batch["spans"].to_pylist(), batch["items"].to_pylist())
+            rows = [(n, _merge([*([x["start"], x["end"]] for x in s), *spans]), sorted({*i, *items})) for (n, spans, items), (s, i) in zip(rows, before)]
+        text = [] if last else [batch["text"]]
         yield pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"].cast(pa.int64()), batch["text_key"], pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([[{"start": s, "end": e} for s, e in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                pa.array([r[2] for r in rows], pa.list_(pa.string())),
+                pa.array([[{"start": s, "end": e} for s, e in r[1]] for r in rows], _SPANS),
+                pa.array([r[2] for r in rows], pa.list_(pa.string())), *text,
             ],
-            ["doc_id", "text_key", "n_words", "spans", "items"],
+            ["doc_id", "text_key", "n_words", "spans", "items", *["text"] * len(text)],
         )
 
 
@@ -169,33 +169,28 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     words, items with occurring windows.
 
     The benchmark goes to the executors in chunks of about `chunk_bytes` of text (a checked
-    bound; one scan of docs for each chunk), so neither table needs to fit anywhere. Null texts have no
+    bound; one search of each text for each chunk, nothing is shuffled), so neither table needs to fit anywhere. Null texts have no
     words; items without words have no window; rows of one item_id count as one item; an item
-    with a null id hits words but is not listed. Repeated rows of docs give a row each; with
-    several chunks identical (doc_id, text) rows collapse to one.
+    with a null id hits words but is not listed. Repeated rows of docs give a row each; the chunks
+    are searched one after another over the same row.
     """
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    outs = [d.mapInArrow(lambda it, held=held: _scan(it, held, window), _SCHEMA) for held in _chunks(docs, benchmark, chunk_bytes)]
-    if len(outs) == 1:
-        return outs[0]
-    every = outs[0]
-    for o in outs[1:]:
-        every = every.unionByName(o)
-    return every.groupBy("doc_id", "text_key").agg(
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).withColumn("spans", F.udf(_merge, "array<struct<start:int,end:int>>")("spans"))
+    chunks = list(_chunks(docs, benchmark, chunk_bytes))
+    for k, held in enumerate(chunks, 1):
+        last = k == len(chunks)
+        d = d.mapInArrow(lambda it, held=held, last=last: _scan(it, held, window, last), _SCHEMA + ("" if last else ", text string"))
+    return d
 
 
 def _merge(spans):
+    """Spans in order, those that meet or overlap joined."""
     out: list[list[int]] = []
-    for s, e in spans:
+    for s, e in sorted(map(tuple, spans)):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
             out.append([s, e])
-    return [tuple(x) for x in out]
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -335,6 +335,14 @@ def test_decontamination(spark):
     assert decontaminate.report(docs(spark, rows), bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_keeps_repeated_rows(spark):
+    text = "zero one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(i, " ".join(text.split()[i : i + 4])) for i in range(8)] + [(9, "five six seven eight"), (None, "zero one")], "item_id long, text string")
+    rows = [(1, text), (1, text), (1, "other"), (None, text), (None, text), (2, None), (2, None), (3, "one two three four")]
+    one, many = (sorted((repr(r.doc_id), r.n_words, [tuple(s) for s in r.spans], r.items) for r in decontaminate.contaminated_words(docs(spark, rows), bench, 10, c).collect()) for c in (1 << 20, 40))
+    assert len(one) == len(rows) and one == many
+
+
 # ---------------------------------------------------------------- 10
 
 
