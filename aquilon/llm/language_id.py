@@ -68,24 +68,43 @@ class Automaton:
 
 
 class Model:
-    """Symbols are the `letters` most frequent letters of the sample, one for other letters, and a blank for any run of other signs."""
+    """Symbols are the `letters` most frequent letters of the samples, one for letters in no sample, and a blank for any run
+    of other signs. The samples' further letters are numbers of a head and digits to base 16, 32 more symbols: every
+    letter keeps a code of its own, and the tables stay narrow in a corpus of many scripts."""
 
     def __init__(self, samples: dict[str, str], letters: int = 48):
         seen = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-        self.symbols = min(letters, len(seen)) + 2
-        code = {c: k + 1 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters])}
-        other = self.symbols - 1
-        self.map = np.array([(code.get(chr(u).lower(), other) if chr(u).isalpha() else _SPACE) for u in range(0x10000)], np.int32)
-        self.map = np.append(self.map, np.int32(other))  # every sign beyond counts as another letter
+        order = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        other, rare = min(letters, len(seen)) + 1, order[letters:]
+        self.digits = 1
+        while 16**self.digits < len(rare):
+            self.digits += 1
+        self.head = other + 1
+        self.symbols = self.head + 32 * bool(rare)
+        code = {c: k + 1 for k, c in enumerate(order[:letters])} | {c: self.symbols + k for k, c in enumerate(rare)}
+        self.map = np.full(0x110000, other, np.int32)  # every sign beyond the first 65,536 counts as a letter
+        self.map[:0x10000] = [(code.get(chr(u).lower(), other) if chr(u).isalpha() else _SPACE) for u in range(0x10000)]
+        for c, k in code.items():
+            if ord(c) >= 0x10000:
+                self.map[[ord(x) for x in {c, c.upper()} if len(x) == 1]] = k
         self.langs = sorted(samples)
         self.autos = [Automaton(self.encode(samples[k]), self.symbols) for k in self.langs]
 
     def encode(self, text: str) -> np.ndarray:
-        u = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x10000)
-        s = self.map[u]
+        s = self.map[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         keep = s > 0
         keep[1:] |= s[:-1] > 0
-        return s[keep]
+        s = s[keep]
+        rare = s >= self.symbols
+        if not rare.any():
+            return s
+        n = np.where(rare, self.digits, 1)
+        at = np.cumsum(n) - n
+        out = np.repeat(s, n)
+        for k in range(self.digits):
+            digit = (s[rare] - self.symbols) // 16 ** (self.digits - 1 - k) % 16
+            out[at[rare] + k] = self.head + 16 * (k > 0) + digit
+        return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language with the fewest phrases times log2(its sample's length), by symbol, and 1 - best / second."""

@@ -292,6 +292,17 @@ def test_language(spark, sf):
     assert language_id.identify(odd.where("false")).count() == 0
 
 
+def test_language_of_many_scripts():
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    text = lambda first: "".join(chr(first + ord(c) - 97) if c != " " else c for c in " ".join(rng.choice(plain) for _ in range(300)))
+    starts = {"el": 0x3B1, "hy": 0x561, "ka": 0x10D0, "ko": 0xAC00, "zh": 0x4E00, "zz": 0x20000}
+    samples = {k: text(v) for k, v in starts.items()} | {"en": " ".join(chr(c) * 900 for c in range(0x430, 0x460)), "ja": "".join(map(chr, range(0x5000, 0x5200)))}
+    m = language_id.Model(samples)
+    assert m.predict([text(v)[:400] for v in starts.values()])[0] == list(starts) and m.predict([samples["ja"][:90]])[0] == ["ja"]
+    assert len({m.encode(c).tobytes() for c in set("".join(samples.values()).replace(" ", ""))}) == len(set("".join(samples.values())) - {" "})
+
+
 def test_quality(spark, sf):
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = quality.score(d, lab).join(lab, "doc_id").where("held_out").collect()
