@@ -531,3 +531,8 @@ def displace_hydrogen(spark, sf):
 @_query("SELECT CAST(least(floor((value - 0e0) / 10e0), 19) AS INT) AS bin, 10e0 * least(floor(value / 10e0), 19) AS left_edge, count(*) AS n FROM events WHERE value >= 0 AND value <= 200 GROUP BY ALL")
 def value_histogram(spark, sf):
     return stats.histogram(spark.read.parquet(f"{sf}/events.parquet"), "value", 0.0, 200.0, 21).where("n > 0")
+
+
+@_query(f"SELECT CAST(b AS INT) AS bin, {r6('any_value(lo) + b * any_value(step)')} AS left_edge, count(value) AS n FROM (SELECT *, (hi - lo) / 20e0 AS step, unnest(range(0, 20)) AS b FROM (SELECT min(value) AS lo, max(value) AS hi FROM events)) l LEFT JOIN events e ON least(floor((e.value - lo) / step), 19) = b GROUP BY b")
+def value_auto_histogram(spark, sf):
+    return stats.auto_histogram(spark.read.parquet(f"{sf}/events.parquet"), "value").withColumn("left_edge", _r("left_edge"))

@@ -10,6 +10,11 @@ def test_query_matches_sql(spark, sf, name):
     same(QUERIES[name](spark, sf), ORACLES[name], sf)
 
 
+def test_value_histogram_covers_the_table(spark, sf):
+    d = spark.read.parquet(f"{sf}/events.parquet").where("value IS NOT NULL")
+    assert sum(r.n for r in QUERIES["value_auto_histogram"](spark, sf).collect()) == d.count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
