@@ -77,10 +77,12 @@ def release(spark: SparkSession) -> None:
 
 
 def n_parts(df: DataFrame, mb: int = 16) -> int:
-    """Parts of about `mb` MB of the planned input size, at least spark.sql.shuffle.partitions."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Parts of about `mb` MB of what the plan reads, at least spark.sql.shuffle.partitions. Inputs of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(math.ceil(size / (mb << 20)), 200_000))
+    return max(least, math.ceil(size / (mb << 20)))
 
 
 def bucket_col(col, parts: int):
@@ -239,6 +241,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         nxt = small.select("x", "y").where("x < y").union(low.select(F.col("m"), F.col("u"))).distinct()
         nxt = saved(nxt.select(F.col("x").alias("a"), F.col("y").alias("b")))
         now = nxt.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
+        discard(e)
         e = nxt
         if now == before:
             break

@@ -1,24 +1,30 @@
 """N-gram Jaccard join: group counts of hashed shingles as points of an R-tree.
 
-A set of shingle hashes is cut into groups by hash ranges. The counts of 256 groups make a document a point; the summed
-coordinate minima of two points bound the overlap of their sets from above, and the maxima of a tree node bound
-that of everything below it. One tree over a whole corpus would be searched almost in full, as random texts of one
-length have nearly equal counts; so documents are first routed by finer groups: two linked sets differ in at most D
-shingles, hence of D + 1 groups one at least is equal in both. Documents with an equal group meet in a cell (no
-link can be lost), and each cell has its tree. What the bounds leave is verified on whole sets.
+A set of shingle hashes is cut into 256 groups by hash ranges, and its counts a group make it a point. The summed
+coordinate minima of two points bound the overlap of their sets from above; the maxima of a tree node bound that of
+everything below it. What the bounds leave is verified on whole sets.
+
+One tree over a corpus would be searched almost in full, as random texts of one length have nearly equal counts. So sets
+are routed first: two linked sets differ in D shingles at most, hence of D + 1 finer groups one at least is equal in both,
+and sets with an equal group meet in a cell (see `_routes`; no link can be lost). A tree in each list of sets that meet gives
+the candidates as a spanning forest; all links lie inside its components. A component's sets then meet once, under a tree
+of their own, and are verified there, again as a forest: neither step writes more rows than it reads.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, Rolling, components, deal, discard, id_array, mix, n_parts, pack, release, row_blocks, saved, text_buffers, unpack, unpack_all
 
 GROUPS = 256  # counts of one byte; with fewer, the bound says nothing of sets of a few thousand
 LEAF = 32
+FAN = 16
 FULL = 255
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _WHITE = np.zeros(256, bool)
@@ -34,22 +40,28 @@ class Threshold:
         while low[-1] < 1 << 40:  # a set's partners are in its own class of sizes or the next one
             low.append(max(low[-1] + 1, (low[-1] - 1) * den // num + 1))
         self.low = np.array(low)
+        self.groups, self.spare = np.array([self._table(t) for t in range(len(low) - 1)]).T
 
     def overlap(self, both):
         """The least overlap of linked sets with so many elements together."""
         return -(-self.num * both // (self.num + self.den))
 
+    def _table(self, t: int) -> tuple[int, int]:
+        """Groups of routing table t, and how many of them are spare. Its sets have low[t + 1] - 1 elements at most, which
+        bounds the difference of linked ones; there are so many spare groups that few sets leave more than that empty."""
+        top = int(self.low[t + 1]) - 1
+        d = (self.den - self.num) * 2 * top // (self.num + self.den)
+        spare, more = 0, 1 if d else 0
+        while more > spare and spare < d // 4 + 2:
+            spare = min(more, d // 4 + 2)
+            empty = (d + 1 + spare) * math.exp(-0.8 * top / (d + 1 + spare))
+            more = math.ceil(empty + 3 * math.sqrt(empty))
+        return d + 1 + spare, spare
+
     def tables(self, n: np.ndarray):
-        """The two routing tables of a set with n elements, and the groups of each. In table j the larger set has
-        low[j + 1] - 1 elements at most, which bounds the difference; a few groups more make up for empty ones."""
-        j = np.searchsorted(self.low, n, "right") - 1
-        out = []
-        for t in (j, j + 1):
-            top = self.low[t + 1] - 1
-            d = (self.den - self.num) * 2 * top // (self.num + self.den)
-            spare = np.where(d > 0, 2 + 6 * d // 1000, 0)
-            out.append((t, d + 1 + spare, spare))
-        return out
+        """The two routing tables of sets with n elements each."""
+        j = np.searchsorted(self.low, np.maximum(n, 1), "right") - 1
+        return j, j + 1
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, size: int):
@@ -104,64 +116,173 @@ def _names(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _routes(h: np.ndarray, d: np.ndarray, n: np.ndarray, th: Threshold):
-    """(key, document) of every routing group: the sum of mixed hashes in it. A set with more empty groups than spare
-    ones also takes part in cells for its empty groups; any two sets that agree on empty groups alone are both such."""
+def _routes(h: np.ndarray, d: np.ndarray, n: np.ndarray, th: Threshold, heavy: np.ndarray):
+    """(key, document) of all cells of the sets (h, d), sorted by (d, h), with n elements each.
+
+    A key is the sum of the mixed hashes in one group, so equal groups have equal keys. Two linked sets A and B have D
+    differing shingles at most, so 1 + spare groups or more are equal; leaving out of both sets the shingles in `heavy`, whichever those
+    are, makes the difference no larger. Keys come in three steps, each for the pairs that the one before can't promise to find:
+    1. every set: the groups of its light shingles. If A or B leaves no more than the spare groups empty, one of the
+       equal groups holds shingles, and they meet.
+    2. sets that leave more empty: the groups of all shingles. If A or B then has few enough empty ones, they meet.
+    3. sets that have more empty ones even so: the rarest shingles by the order (heavy or not, hash), one more than a linked
+       set can lack; the first common shingle of A and B is among them.
+    """
     out = []
-    top = (h >> U(32)).astype(U)
     body = mix(h ^ U(0x5851F42D4C957F2D))
-    docs = np.flatnonzero(n > 0)
-    for t, g, spare in th.tables(np.maximum(n, 1)):
-        group = ((top * g[d].astype(U)) >> U(32)).astype(np.int64)
-        base = np.cumsum(g) - g
-        flat = base[d] + group
+    top = (h >> U(32)).astype(U)
+    at = np.searchsorted(heavy, h) if heavy.size else np.zeros(h.size, np.int64)
+    light = heavy[np.minimum(at, heavy.size - 1)] != h if heavy.size else np.ones(h.size, bool)
+    mixed = np.bincount(d[~light], minlength=n.size) > 0
+    rest = np.zeros(n.size, bool)
+
+    def grouped(t, who: np.ndarray) -> np.ndarray:
+        """Adds the keys of the shingles in `who`; which sets leave too many groups empty."""
+        i = np.flatnonzero(who)
+        g = th.groups[t]
+        group = ((top[i] * g[d[i]].astype(U)) >> U(32)).astype(np.int64)
+        flat = (np.cumsum(g) - g)[d[i]] + group
         new = np.ones(flat.size, bool)
         new[1:] = flat[1:] != flat[:-1]
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(body, at) if at.size else np.zeros(0, U)
-        key = mix(total + mix((t[d[at]].astype(U) << U(32)) + group[at].astype(U)))
-        out.append((key, d[at]))
-        full = np.bincount(d[at], minlength=n.size)
-        for i in docs[(g - full > spare)[docs]]:
-            gone = np.setdiff1d(np.arange(g[i]), group[at][d[at] == i], assume_unique=True)
-            out.append((mix(mix((U(t[i]) << U(32)) + gone.astype(U)) ^ U(0x2545F4914F6CDD1D)), np.full(gone.size, i)))
+        first = np.flatnonzero(new)
+        if first.size:
+            total = np.add.reduceat(body[i], first)
+            doc = d[i[first]]
+            out.append((mix(total + mix((t[doc].astype(U) << U(32)) + group[first].astype(U))), doc))
+        else:
+            doc = np.zeros(0, np.int64)
+        return g - np.bincount(doc, minlength=n.size) > th.spare[t]
+
+    for t in th.tables(n):
+        short = grouped(t, light) & (n > 0)
+        again = short & mixed
+        rest |= short & ~mixed
+        if again.any():
+            rest |= grouped(t, again[d]) & again
+    i = np.flatnonzero(rest[d])
+    if i.size:
+        i = i[np.lexsort((h[i], ~light[i], d[i]))]
+        doc = d[i]
+        place = np.arange(i.size) - np.searchsorted(doc, doc)
+        lack = n - -(-th.num * n // th.den)  # a linked set has at least num / den of the shingles
+        keep = place <= lack[doc]
+        out.append((mix(body[i[keep]] ^ U(0x2545F4914F6CDD1D)), doc[keep]))
+    if not out:
+        return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate([k for k, _ in out]), np.concatenate([x for _, x in out])
 
 
+def _frequent(batches, size: int, limit: int, share: int, flush_at: int = 2_000_000):
+    """Shingles that stand in 1 / share of a block's documents and in two at least, with their number; the documents under a null."""
+    held, n_held, docs = [], 0, 0
+
+    def flush():
+        h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, np.int64))
+        keep = n >= max(2, docs // share)
+        h, n = h[keep].view(np.int64), n[keep]
+        return pa.RecordBatch.from_arrays([pa.array(np.append(h, 0), mask=np.append(np.zeros(h.size, bool), True)), pa.array(np.append(n, docs))], ["h", "n"])
+
+    for batch in batches:
+        buf, offs = text_buffers(batch["text"])
+        for i, j in row_blocks(offs, limit):
+            h, _ = shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
+            held.append(h)
+            n_held += h.size
+            docs += j - i
+            if n_held >= flush_at:
+                yield flush()
+                held, n_held, docs = [], 0, 0
+    if docs:
+        yield flush()
+
+
+def heavy_shingles(texts: DataFrame, size: int, limit: int, least: int, share: int, most: int = 1 << 18) -> np.ndarray:
+    """Sorted hashes of the most frequent shingles: those in `least` documents and 1 / share of all at least, `most` of them at most. They
+    only serve to route sets apart; any set of shingles, also an empty one, gives the same links."""
+    counts = texts.mapInArrow(lambda it: _frequent(it, size, limit, 2 * share), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = saved(counts.where(f"h IS NULL OR n >= {least}"))
+    docs = counts.where("h IS NULL").agg(F.max("n")).first()[0] or 0
+    top = counts.where(f"h IS NOT NULL AND n >= {docs // share}").orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    discard(counts)
+    return np.sort(np.asarray(top["h"]).view(U))
+
+
 _OUT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
-_PROFILE = (np.int64, np.int64, np.int64)  # doc, set size, set hash
+_OUT_DDL = "kind int, part int, blob binary"
+_PROFILE = (np.int64, np.int64, np.int64, np.int64, np.uint8)  # doc, hash of the text, set size, set hash, id is null
+_WIDTH = sum(np.dtype(t).itemsize for t in _PROFILE)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_OUT)], schema=_OUT)
 
 
-def _profile(batches, parts: int, size: int, th: Threshold, limit: int, flush_at: int = 800_000):
-    """kind 0: profiles of documents; kind 1: (key, set) pairs for a part."""
+def _forest_of(runs: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """(least, other) pairs that keep together what shares a run; runs gives the run of each member."""
+    names, node = np.unique(cls, return_inverse=True)
+    root = list(range(names.size))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y, same in zip(node[:-1].tolist(), node[1:].tolist(), (runs[1:] == runs[:-1]).tolist()):
+        if same and (a := find(x)) != (b := find(y)):
+            root[max(a, b)] = min(a, b)
+    low = np.array([find(x) for x in range(names.size)], np.int64)
+    other = np.flatnonzero(low != np.arange(names.size))
+    return np.stack([names[low[other]], names[other]], 1)
+
+
+def _sorted_runs(key: np.ndarray, cls: np.ndarray):
+    """Distinct (key, cls) in order, and where each key starts and how many it has."""
+    order = np.lexsort((cls, key))
+    key, cls = key[order], cls[order]
+    new = np.ones(key.size, bool)
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    key, cls = key[new], cls[new]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if key.size else np.zeros(0, np.int64)
+    return key, cls, at, np.diff(np.append(at, key.size))
+
+
+def _profile(batches, parts: int, size: int, th: Threshold, limit: int, heavy: np.ndarray, dense: int, flush_at: int = 800_000):
+    """kind 0: profiles of documents; kind 1: (key, set) pairs for a part; kind 2: pairs of sets that meet. A key that more than `dense` sets
+    of one block have leaves the block once, with the least of them; the others are tied to it."""
     held, n_held = [], 0
 
     def flush():
         key, cls = (np.concatenate(x) for x in zip(*held))
+        key, cls, at, n = _sorted_runs(key, cls)
+        many = np.repeat(n > dense, n)
+        rows = []
+        if many.any():
+            ties = _forest_of(key[many], cls[many])
+            rows.append((2, int(ties[0, 0] % parts), ties.tobytes()))
+            first = np.zeros(key.size, bool)
+            first[at] = True
+            key, cls = key[~many | first], cls[~many | first]
         part = (key % U(parts)).astype(np.int64)
         order = np.lexsort((cls, part))
-        key, cls, part = key[order], cls[order], part[order]
-        rows = []
+        key, cls, part = (key[order] // U(parts)).astype(np.uint32), cls[order], part[order]  # a part is small enough for 32 bits to tell its keys apart
         for at in np.split(np.arange(key.size), np.flatnonzero(np.diff(part)) + 1):
             names, n = np.unique(cls[at], return_counts=True)
             rows.append((1, int(part[at[0]]), np.int64(names.size).tobytes() + names.tobytes() + n.astype(np.uint32).tobytes() + key[at].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
+        return _rows(rows)
 
     for batch in batches:
-        ids = id_array(batch["doc_id"])
+        ids, gone, text_key = id_array(batch["doc_id"]), np.asarray(batch["doc_id"].is_null()), np.asarray(batch["tk"])
         buf, offs = text_buffers(batch["text"])
         for i, j in row_blocks(offs, limit):
             h, d = shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
             n = np.bincount(d, minlength=j - i)
-            at = np.cumsum(n) - n
-            cls = _names(h, at, n)
-            counts = np.bincount(d * GROUPS + (h >> U(56)).astype(np.int64), minlength=(j - i) * GROUPS).reshape(-1, GROUPS)
-            counts[(counts > 254).any(1)] = FULL  # too many for a byte: such a set is never ruled out by counts
-            counts = counts.astype(np.uint8)
-            blob = pack(ids[i:j], n, cls.view(np.int64)) + counts.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((0, -1, np.int64(j - i).tobytes() + blob), _OUT)], schema=_OUT)
-            if h.size:
-                key, doc = _routes(h, d, n, th)
+            cls = _names(h, np.cumsum(n) - n, n)
+            vec = _counts(h, d, j - i)
+            blob = pack(ids[i:j], text_key[i:j], n, cls.view(np.int64), gone[i:j].astype(np.uint8)) + vec.tobytes()
+            yield _rows([(0, int(cls[0] % U(parts)), np.int64(j - i).tobytes() + blob)])
+            key, doc = _routes(h, d, n, th, heavy)
+            if key.size:
                 held.append((key, cls[doc].view(np.int64)))
                 n_held += key.size
             if n_held >= flush_at:
@@ -171,267 +292,362 @@ def _profile(batches, parts: int, size: int, th: Threshold, limit: int, flush_at
         yield flush()
 
 
+def _counts(h: np.ndarray, d: np.ndarray, n_sets: int) -> np.ndarray:
+    """The group counts of sets, a byte each; where one has too many for a byte, all are FULL, which rules nothing out."""
+    counts = np.bincount(d * GROUPS + (h >> U(56)).astype(np.int64), minlength=n_sets * GROUPS).reshape(-1, GROUPS)
+    counts[(counts > 254).any(1)] = FULL
+    return counts.astype(np.uint8)
+
+
 def _unprofile(batches):
     for batch in batches:
         for b in batch["blob"].to_pylist():
             n = int(np.frombuffer(b, np.int64, 1)[0])
-            doc, size, cls = unpack(b[8 : 8 + 24 * n], *_PROFILE)
-            counts = np.frombuffer(b, np.uint8, -1, 8 + 24 * n)
+            doc, tk, size, cls, gone = unpack(b[8 : 8 + _WIDTH * n], *_PROFILE)
             offs = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * GROUPS).tobytes())
-            vec = pa.Array.from_buffers(pa.binary(), n, [None, offs, pa.py_buffer(counts.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == -(2**63)), pa.array(size), pa.array(cls), vec], ["doc_id", "n", "cls", "vec"])
+            vec = pa.Array.from_buffers(pa.binary(), n, [None, offs, pa.py_buffer(b[8 + _WIDTH * n :])])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=gone > 0), pa.array(tk), pa.array(size), pa.array(cls), vec], ["doc_id", "tk", "n", "cls", "vec"])
 
 
 def _cells(table: pa.Table, parts: int) -> pa.Table:
-    """The cells of one part with two sets or more; of equal lists one is kept."""
-    keys, sets = [], []
-    for b in table["blob"].to_pylist():
-        n = int(np.frombuffer(b, np.int64, 1)[0])
-        sets.append(np.repeat(np.frombuffer(b, np.int64, n, 8), np.frombuffer(b, np.uint32, n, 8 + 8 * n)))
-        keys.append(np.frombuffer(b, U, -1, 8 + 12 * n))
+    """One part: lists of sets that meet in its cells, put together where they share sets (near copies share dozens of cells),
+    dealt by name. Kinds 0 and 2 go on as they are."""
+    kinds = np.asarray(table["kind"])
+    blobs = table["blob"].to_pylist()
+    rows = [(int(k), -1, b) for k, b in zip(kinds, blobs) if k != 1]
+    keys, sets = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for b, k in zip(blobs, kinds):
+        if k == 1:
+            n = int(np.frombuffer(b, np.int64, 1)[0])
+            sets.append(np.repeat(np.frombuffer(b, np.int64, n, 8), np.frombuffer(b, np.uint32, n, 8 + 8 * n)))
+            keys.append(np.frombuffer(b, np.uint32, -1, 8 + 12 * n))
     key, cls = np.concatenate(keys), np.concatenate(sets)
     order = np.argsort(key)  # only keys that come again are sorted in full
     again = key[order[1:]] == key[order[:-1]]
     twin = np.zeros(key.size, bool)
     twin[order[1:][again]] = True
     twin[order[:-1][again]] = True
-    key, cls = key[twin], cls[twin]
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    new = np.ones(key.size, bool)
-    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls = key[new], cls[new]
-    start = np.ones(key.size, bool)
-    start[1:] = key[1:] != key[:-1]
-    at = np.flatnonzero(start)
-    n = np.diff(np.append(at, key.size))
-    use = np.repeat(n > 1, n)
-    if not use.any():
-        return pa.table({"part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-    at, n, cls = np.flatnonzero(start[use]), n[n > 1], cls[use]
-    name = mix(np.add.reduceat(mix(cls.view(U)), at) + n.astype(U))
-    _, one = np.unique(name, return_index=True)
-    keep = np.zeros(name.size, bool)
-    keep[one] = True
-    flat = np.repeat(keep, n)
-    names = np.repeat(name, n)[flat]
-    rows = list(deal((names % U(parts)).astype(np.int32), names, cls[flat]))
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+    key, cls, _, n = _sorted_runs(key[twin], cls[twin])
+    many = np.repeat(n > 1, n)
+    if many.any():
+        tie = _forest_of(key[many], cls[many])
+        low, at = np.unique(tie[:, 0], return_inverse=True)
+        run, members = np.concatenate((at, np.arange(low.size))), np.concatenate((tie[:, 1], low))
+        order = np.lexsort((members, run))
+        run, members = run[order], members[order]
+        n = np.bincount(run)
+        name = mix(np.add.reduceat(mix(members.view(U)), np.cumsum(n) - n) + n.astype(U))
+        names = np.repeat(name, n)
+        rows += [(1, p, b) for p, b in deal((names % U(parts)).astype(np.int32), names, members)]
+    return pa.Table.from_batches([_rows(rows)])
 
 
 def _lists(table: pa.Table) -> pa.Table:
     """Distinct lists of one part, a row for each member."""
     name, cls = unpack_all(table["blob"].to_pylist(), U, np.int64)
-    order = np.lexsort((cls, name))
-    name, cls = name[order], cls[order]
-    new = np.ones(name.size, bool)
-    new[1:] = (name[1:] != name[:-1]) | (cls[1:] != cls[:-1])
-    return pa.table({"list": pa.array(name[new].view(np.int64)), "cls": pa.array(cls[new])})
+    name, cls, _, _ = _sorted_runs(name, cls)
+    return pa.table({"list": pa.array(name.view(np.int64)), "cls": pa.array(cls)})
+
+
+def _pairs(batches):
+    for batch in batches:
+        for b in batch["blob"].to_pylist():
+            p = np.frombuffer(b, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
 
 class Tree:
-    """A packed R-tree over points sorted by (component, set size, set): leaves of LEAF points with their
-    coordinate maxima, least and greatest size."""
-
-    def __init__(self, cls, n, vec, comp):
-        order = np.lexsort((cls, n, comp))
-        self.cls, self.n, self.comp, self.vec = cls[order], n[order], comp[order], vec[order]
-        at = np.arange(0, cls.size, LEAF)
-        self.at = np.append(at, cls.size)
-        self.top = np.maximum.reduceat(self.vec, at, 0)
-        self.free = self.vec.min(1) == FULL
-        self.frees = np.logical_or.reduceat(self.free, at)
-        self.least = np.minimum.reduceat(self.n, at)
-        self.most = np.maximum.reduceat(self.n, at)
-        self.low, self.high = np.minimum.reduceat(self.comp, at), np.maximum.reduceat(self.comp, at)
-
-    def _near(self, a: int, th: Threshold, cross: bool) -> np.ndarray:
-        """Leaves up to a that can hold partners of a's points."""
-        b = slice(0, a + 1)
-        bound = np.minimum(self.top[b], self.top[a]).sum(1, dtype=np.int64)
-        ok = (bound >= th.overlap(self.least[b] + self.least[a])) | self.frees[b] | self.frees[a]
-        ok &= (self.most[b] * th.den >= self.least[a] * th.num) & (self.most[a] * th.den >= self.least[b] * th.num)
-        if cross:
-            ok &= (self.low[b] != self.high[b]) | (self.low[a] != self.high[a]) | (self.low[b] != self.low[a])
-        return np.flatnonzero(ok)
-
-    def pairs(self, th: Threshold, cross: bool):
-        """Index pairs (later, earlier) that the bounds allow. Without `cross`: one for each point that has any, with the
-        first leaf that offers one; with it: all pairs of different components."""
-        for a in range(len(self.at) - 1):
-            i = np.arange(self.at[a], self.at[a + 1])
-            open_ = np.ones(i.size, bool)
-            for b in self._near(a, th, cross):
-                j = np.arange(self.at[b], self.at[b + 1])
-                need = th.overlap(self.n[i][:, None] + self.n[j][None])
-                bound = np.minimum(self.vec[i][:, None], self.vec[j][None]).sum(2, dtype=np.int32)
-                ok = (bound >= need) | self.free[i][:, None] | self.free[j][None]
-                ok &= np.minimum(self.n[i][:, None], self.n[j][None]) >= need
-                ok &= j[None] < i[:, None]
-                if cross:
-                    ok &= self.comp[i][:, None] != self.comp[j][None]
-                    x, y = np.nonzero(ok)
-                else:
-                    ok &= open_[:, None]
-                    x = np.flatnonzero(ok.any(1))
-                    y = ok[x].argmax(1)
-                    open_[x] = False
-                if x.size:
-                    yield i[x], j[y]
-                if not cross and not open_.any():
-                    break
-
-
-def _search(batches, th: Threshold, cross: bool):
-    """Reads lists in order; a tree for each; gives candidate pairs of sets (a < b)."""
-    name, parts = None, []
-    out: list[np.ndarray] = []
+    """A packed R-tree: points in the order of their size class and of a projection of their counts, leaves of LEAF points, nodes of FAN
+    children; a node keeps the coordinate maxima and the least and greatest set size below it."""
+
+    def __init__(self, n: np.ndarray, vec: np.ndarray, th: Threshold):
+        self.th = th
+        line = vec.astype(np.float32) @ np.sin(np.arange(1, GROUPS + 1, dtype=np.float32) * 12.9898)
+        self.order = np.lexsort((line, np.searchsorted(th.low, n, "right")))
+        self.n, self.vec = n[self.order], vec[self.order]
+        self.free = self.vec[:, 0] == FULL
+        self.levels = []
+        top, least, most, free, step = self.vec, self.n, self.n, self.free, LEAF
+        while not self.levels or least.size > FAN:
+            at = np.arange(0, least.size, step)
+            top, least, most, free = np.maximum.reduceat(top, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.logical_or.reduceat(free, at)
+            self.levels.append((top, least, most, free))
+            step = FAN
+
+    def near(self, leaf: int) -> np.ndarray:
+        """Leaves up to `leaf` that can hold partners of its points: from the root down, where the bounds allow it."""
+        th = self.th
+        mine, low, high, free = (x[leaf] for x in self.levels[0])
+        nodes = np.arange(self.levels[-1][1].size)
+        for k in range(len(self.levels) - 1, -1, -1):
+            top, least, most, any_free = self.levels[k]
+            nodes = nodes[nodes <= leaf // FAN**k]
+            ok = (np.minimum(top[nodes], mine).sum(1, dtype=np.int64) >= th.overlap(least[nodes] + low)) | any_free[nodes] | free
+            ok &= (most[nodes] * th.den >= low * th.num) & (high * th.den >= least[nodes] * th.num)
+            nodes = nodes[ok]
+            if k:
+                nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
+                nodes = nodes[nodes < self.levels[k - 1][1].size]
+        return nodes
+
+    def candidates(self, skip):
+        """(point, earlier points that its bounds allow), in tree order; skip(i, js) says which pairs are of no use any more."""
+        th, size = self.th, self.n.size
+        for leaf in range(self.levels[0][1].size):
+            i = np.arange(leaf * LEAF, min(size, (leaf + 1) * LEAF))
+            j = (self.near(leaf)[:, None] * LEAF + np.arange(LEAF)).ravel()
+            j = j[j < i[-1]]
+            for at in range(0, j.size, 1024):
+                js = j[at : at + 1024]
+                open_ = (js[None] < i[:, None]) & ~skip(i[:, None], js[None])
+                col = np.flatnonzero(open_.any(0))
+                if not col.size:
+                    continue
+                js, open_ = js[col], open_[:, col]
+                for x in np.flatnonzero(open_.any(1)):
+                    k = js[open_[x]]
+                    k = k[~skip(i[x], k)]
+                    need = th.overlap(self.n[i[x]] + self.n[k])
+                    ok = (np.minimum(self.vec[i[x]], self.vec[k]).sum(1, dtype=np.int32) >= need) | self.free[i[x]] | self.free[k]
+                    k = k[ok & (np.minimum(self.n[i[x]], self.n[k]) >= need)]
+                    if k.size:
+                        yield int(i[x]), k
+
+
+class Labels:
+    """Which of a few points are joined."""
+
+    def __init__(self, of: np.ndarray):
+        self.of = of
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.of[i], self.of[j]
+        if a == b:
+            return False
+        self.of[self.of == max(a, b)] = min(a, b)
+        return True
+
+
+def candidate_forest(n: np.ndarray, vec: np.ndarray, th: Threshold) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of all pairs that the bounds allow."""
+    if n.size == 2:  # one leaf
+        need = th.overlap(n[0] + n[1])
+        ok = (vec[:, 0] == FULL).any() or np.minimum(vec[0], vec[1]).sum(dtype=np.int64) >= need
+        return [(0, 1)] if ok and n.min() >= need else []
+    tree = Tree(n, vec, th)
+    joined = Labels(np.arange(n.size))
+    out = []
+    for i, js in tree.candidates(lambda i, j: joined.of[i] == joined.of[j]):
+        for j in js.tolist():
+            if joined.join(i, j):
+                out.append((int(tree.order[i]), int(tree.order[j])))
+    return out
 
-    def search():
-        cls, n, comp = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        vec = np.concatenate([p[3] for p in parts])
-        if cls.size > 1 and not (cross and (comp == comp[0]).all()):
-            t = Tree(cls, n, vec, comp if cross else np.zeros(cls.size, np.int64))
-            for x, y in t.pairs(th, cross):
-                a, b = t.cls[x], t.cls[y]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
 
-    def flush():
-        pairs = np.unique(np.concatenate(out), axis=0)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def link_forest(h: np.ndarray, d: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray | None, th: Threshold) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets (h, d), sorted by (d, h), with n elements each. Sets with equal labels count as
+    joined already; with `side`, only pairs of different sides are tried."""
+    if n.size == 2:  # one leaf; the counts of two sets take longer than their overlap
+        both = np.sort(h)
+        apart = label[0] != label[1] and (side is None or side[0] != side[1])
+        return [(0, 1)] if apart and int((both[1:] == both[:-1]).sum()) >= th.overlap(h.size) else []
+    tree = Tree(n, _counts(h, d, n.size), th)
+    joined = Labels(label[tree.order].copy())
+    side = None if side is None else side[tree.order]
+    if (joined.of == joined.of[0]).all():
+        return []
+    at = np.append(0, np.cumsum(n))
+    _, code = np.unique(h, return_inverse=True)
+    sets = [code[at[k] : at[k + 1]] for k in tree.order.tolist()]
+    mark = np.zeros(code.max() + 1, np.uint8)
+    out = []
 
+    def skip(i, j):
+        off = joined.of[i] == joined.of[j]
+        return off if side is None else off | (side[i] == side[j])
+
+    for i, js in tree.candidates(skip):
+        mark[sets[i]] = 1
+        step = 4
+        while js.size:
+            now, js = js[:step], js[step:]
+            size = tree.n[now]
+            both = np.add.reduceat(mark[np.concatenate([sets[j] for j in now.tolist()])], np.cumsum(size) - size, dtype=np.int64)
+            for j in now[both >= th.overlap(tree.n[i] + size)].tolist():
+                if joined.join(i, j):
+                    out.append((int(tree.order[i]), int(tree.order[j])))
+            js = js[joined.of[js] != joined.of[i]]
+            step = min(256, 2 * step)
+        mark[sets[i]] = 0
+    return out
+
+
+def _runs(batches, *key: str):
+    """Tables of rows with equal keys, one after the other, from a sorted stream."""
+    held, now = [], None
     for batch in batches:
-        lists = np.asarray(batch["list"])
-        cls, n, comp = (np.asarray(batch[c]) for c in ("cls", "n", "comp"))
-        vec = np.frombuffer(b"".join(batch["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
-        cuts = np.flatnonzero(np.diff(lists)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, lists.size]):
-            if hi <= lo:
-                continue
-            if name is not None and lists[lo] != name:
-                search()
-                parts = []
-                if len(out) > 20_000:
-                    yield flush()
-            name = lists[lo]
-            parts.append((cls[lo:hi], n[lo:hi], comp[lo:hi], vec[lo:hi]))
-    if parts:
-        search()
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch[k]) for k in key]
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+            name = tuple(c[lo] for c in cols)
+            if name != now and held:
+                yield now, held
+                held = []
+            now = name
+            held.append(batch.slice(lo, hi - lo))
+            yield None, held  # the run goes on: the caller may take what is held
+    if held:
+        yield now, held
+
+
+def _found(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    p = np.unique(np.concatenate(pairs), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
+
+def _search(batches, th: Threshold, most: int):
+    """Reads lists in order, a tree for each; gives a forest of candidate pairs (a < b). The sets of a list of more than `most` are
+    all tied to its first one, without a look at the bounds."""
+    out: list[np.ndarray] = []
+    long = False
+    for name, held in _runs(batches, "list"):
+        long |= sum(b.num_rows for b in held) > most
+        if name is None and not long:
+            continue
+        t = pa.Table.from_batches(held)
+        cls = np.asarray(t["cls"])
+        if long:
+            out.append(np.stack([np.full(cls.size - 1, cls[0]), cls[1:]], 1))
+            held[:] = [held[0].slice(0, 1)]  # never more than that in memory
+        elif cls.size > 1:
+            vec = np.frombuffer(b"".join(t["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
+            if p := candidate_forest(np.asarray(t["n"]), vec, th):
+                out.append(cls[np.array(p)])
+        long &= name is None
+        if len(out) > 20_000:
+            yield _found([np.sort(x, axis=1) for x in out])
+            out.clear()
     if out:
-        yield flush()
+        yield _found([np.sort(x, axis=1) for x in out])
 
 
-def _sets(batches, size: int, limit: int):
-    for batch in batches:
-        buf, offs = text_buffers(batch["text"])
+def _verify(batches, size: int, th: Threshold, limit: int):
+    """Reads the texts of clusters in order (a row for each set, though rows may repeat); gives a forest of links (a < b)."""
+    out: list[np.ndarray] = []
+    last = None
+    for name, held in _runs(batches, "cluster", "x", "y"):
+        if name is None:  # repeated rows stand together
+            cls = np.asarray(held[-1]["cls"])
+            new = np.ones(cls.size, bool)
+            new[1:] = cls[1:] != cls[:-1]
+            key = tuple(int(np.asarray(held[-1][k])[0]) for k in ("cluster", "x", "y"))
+            new[0] = (key, int(cls[0])) != last
+            last = (key, int(cls[-1]))
+            held[-1] = held[-1].filter(pa.array(new))
+            continue
+        t = pa.Table.from_batches(held)
+        if t.num_rows < 2:
+            continue
+        buf, offs = text_buffers(t["text"])
+        hs, ds = [], []
         for i, j in row_blocks(offs, limit):
             h, d = shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
-            at = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=j - i))))
-            cls = _names(h, at[:-1], np.diff(at)).view(np.int64)
-            mask = pa.array(cls == np.asarray(batch["cls"].slice(i, j - i)))  # not the other rows of one doc_id
-            rows = pa.RecordBatch.from_arrays([batch["cls"].slice(i, j - i), pa.array([h[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], ["cls", "h"])
-            yield rows.filter(mask)
-
-
-def _verify(pairs: pa.Table, sets: pa.Table, th: Threshold) -> pa.Table:
-    """The pairs of one block whose sets are similar enough."""
-    held = {c: np.frombuffer(h, U) for c, h in zip(sets["cls"].to_pylist(), sets["h"].to_pylist())}
-    keep = []
-    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
-        x, y = held[a], held[b]
-        need = th.overlap(x.size + y.size)
-        if min(x.size, y.size) < need:
-            keep.append(False)
-            continue
-        both = np.sort(np.concatenate((x, y)), kind="stable")
-        keep.append(int((both[1:] == both[:-1]).sum()) >= need)
-    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            hs.append(h)
+            ds.append(d + i)
+        h, d = np.concatenate(hs), np.concatenate(ds)
+        cls, side = np.asarray(t["cls"]), np.asarray(t["side"])
+        _, label = np.unique(np.asarray(t["label"]), return_inverse=True)
+        if p := link_forest(h, d, np.bincount(d, minlength=cls.size), label, side if (side >= 0).any() else None, th):
+            out.append(cls[np.array(p)])
+        if len(out) > 20_000:
+            yield _found([np.sort(x, axis=1) for x in out])
+            out.clear()
+    if out:
+        yield _found([np.sort(x, axis=1) for x in out])
+
+
+def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_bytes: int, heavy_least: int, heavy_share: int, dense: int, list_max: int, cluster_shingles: int) -> DataFrame:
+    """doc_id, tk (hash of the text), n_shingles, component_id for each row of docs."""
+    spark = docs.sparkSession
+    th = Threshold(num, den)
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
+    parts = n_parts(docs)
+    heavy = heavy_shingles(d.select("text"), size, block_bytes, heavy_least, heavy_share)
+    release(spark)
+    shared = spark.sparkContext.broadcast(heavy)  # 2 MB at most
+    met = d.mapInArrow(lambda it: _profile(it, parts, size, th, block_bytes, shared.value, dense), _OUT_DDL)
+    met = saved(met.groupBy("part").applyInArrow(lambda t: _cells(t, parts), _OUT_DDL), "kind")
+    release(spark)
+    prof = met.where("kind = 0").select("blob").mapInArrow(_unprofile, "doc_id long, tk long, n long, cls long, vec binary")
+    lists = saved(met.where("kind = 1").select("part", "blob").groupBy("part").applyInArrow(_lists, "list long, cls long"))
+    ties = met.where("kind = 2").select("blob").mapInArrow(_pairs, "a long, b long")
+    one = F.min(F.struct("doc_id", "tk")).alias("one")
+    classes = saved(prof.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), one, F.first("n").alias("n"), F.first("vec").alias("vec")))
+
+    rows = lists.join(classes.select("cls", "n", "vec"), "cls").select("list", "cls", "n", "vec").repartition(parts, "list").sortWithinPartitions("list")
+    near = saved(components(spark, rows.mapInArrow(lambda it: _search(it, th, list_max), "a long, b long").union(ties)))
+    release(spark)
 
+    # a cluster's sets meet in blocks; a few sets of a cluster of several blocks go to all of them
+    of = near.select(F.col("id").alias("cls"), F.col("component").alias("cluster")).join(classes.select("cls", "one", "n"), "cls")
+    blocks = F.greatest(F.ceil(F.sum("n") / cluster_shingles), F.ceil(F.count("*") / list_max)).cast("int")
+    big = saved(of.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("sets")).where("blocks > 1"))
+    of = of.join(big, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    of = saved(of.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("pilot", F.expr("blocks > 1 AND pmod(xxhash64(cls, 7), sets) < 16")))
+
+    def links(members: DataFrame) -> DataFrame:
+        """members: cls, one, cluster, x, y, side, label. The texts come by (doc_id, hash), so that neither null nor repeated ids matter."""
+        texts = members.join(d.withColumnRenamed("tk", "d_tk"), F.expr("one.tk <=> d_tk AND one.doc_id <=> doc_id")).select("cluster", "x", "y", "cls", "side", "label", "text")
+        rows = texts.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "cls")
+        return saved(rows.mapInArrow(lambda it: _verify(it, size, th, block_bytes), "a long, b long"))
+
+    own = of.select("cls", "one", "cluster", F.col("block").alias("x"))
+    pilots = of.where("pilot").select("cls", "one", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).where("x <> block").drop("block")
+    found = links(own.union(pilots).select("*", F.lit(-1).alias("y"), F.lit(-1).alias("side"), F.col("cls").alias("label")))
+    comp = saved(components(spark, found))
+    if not big.isEmpty():  # pairs of blocks, in clusters that are not yet one component
+        label = of.where("blocks > 1").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
+        apart = label.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+        pairs = label.join(apart, "cluster").select("cls", "one", "cluster", "block", "label", other).where("o <> block")
+        more = links(pairs.select("cls", "one", "cluster", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), F.col("block").alias("side"), "label"))
+        comp = saved(components(spark, found.union(more)))
+    release(spark)
 
-def _clustered(spark, lists: DataFrame, cluster_max: int) -> DataFrame:
-    """Cells that share sets put together, as a pair of near copies shares dozens of cells: a cluster of up to cluster_max sets
-    becomes one list; larger ones, which chance links grow, keep their cells. Either way two sets of one cell stay in one list."""
-    least = lists.groupBy("list").agg(F.min("cls").alias("a"))
-    edges = lists.join(least, "list").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    of = saved(components(spark, edges))
-    small = of.groupBy("component").count().where(F.col("count") <= cluster_max).select("component")
-    of = saved(of.join(small.withColumn("is_small", F.lit(True)), "component", "left"))
-    whole = of.where("is_small").select(F.col("component").alias("list"), F.col("id").alias("cls"))
-    rest = lists.join(of.where("is_small IS NULL").select(F.col("id").alias("cls")), "cls").select("list", "cls")
-    return saved(whole.union(rest))
+    named = classes.select("cls", "least").join(comp.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    names = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cls", "component_id")
+    every = prof.select("doc_id", "tk", "n", "cls").join(names, "cls", "left")
+    out = every.select("doc_id", "tk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return saved(out)
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20, cluster_max: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20, heavy_least: int = 64, heavy_share: int = 1000, dense: int = 16, list_max: int = 8192, cluster_shingles: int = 1 << 21) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
     Two documents link when the Jaccard similarity of their sets of `size`-word shingles is num / den or more; a document with
     fewer words has its whole sequence as one shingle; one without words (or a null text) links with nothing. component_id is
-    the smallest doc_id reachable by links. Equal sets are one class from the start. Rows that share a doc_id are
-    rows of their own, judged by their texts; rows with a null doc_id link, but name no component unless alone, where it is null.
+    the smallest doc_id reachable by links. Equal sets are one class from the start. Rows that share a doc_id, and repeated rows, are
+    rows of their own, judged by their texts; rows with a null doc_id link, but name no component unless all its rows have a null id, where
+    it is null. Other columns of docs, whatever their names, are not read. An empty table gives an empty one.
 
-    Two rounds verify candidates on whole sets: the first tries one partner for each set; the second tries all
-    pairs that are still in different components, so no link is lost and large groups of near copies cost few
-    comparisons. Shingles and sets are known by 64-bit hashes.
+    The other parameters shape the work and never the result: heavy_* which frequent shingles are left out of the first routing keys,
+    `dense` and `list_max` how many sets of one key or list are held together, `cluster_shingles` the size of a block of a cluster.
+    Shingles and sets are known by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    th = Threshold(num, den)
-    d = docs.select("doc_id", "text")
-    parts = n_parts(d)
-    held = saved(d.mapInArrow(lambda it: _profile(it, parts, size, th, block_bytes), "kind int, part int, blob binary"), "kind")
-    prof = saved(held.where("kind = 0").select("blob").mapInArrow(_unprofile, "doc_id long, n long, cls long, vec binary"))
-    lists = saved(held.where("kind = 1").select("part", "blob").groupBy("part").applyInArrow(lambda t: _cells(t, parts), "part int, blob binary").groupBy("part").applyInArrow(_lists, "list long, cls long"))
-    discard(held)
-    release(spark)
-    lists = _clustered(spark, lists, cluster_max)
-    first_row = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "n", "vec")).alias("p")
-    points = saved(lists.select("cls").distinct().join(prof.where("n > 0"), "cls").groupBy("cls").agg(first_row).select("cls", F.col("p.n").alias("n"), F.col("p.vec").alias("vec"), F.col("p.rep").alias("rep")))
-
-    def candidates(comp: DataFrame | None) -> DataFrame:
-        cross = comp is not None
-        rows = lists.join(points.select("cls", "n", "vec"), "cls")
-        if comp is None:
-            rows = rows.withColumn("comp", F.lit(0).cast("long"))
-        else:
-            rows = rows.join(comp.select(F.col("id").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        rows = rows.select("list", "cls", "n", "comp", "vec").repartition(parts, "list").sortWithinPartitions("list")
-        return saved(rows.mapInArrow(lambda it: _search(it, th, cross), "a long, b long").distinct())
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The linked ones of candidate pairs. Sets of one cluster of candidates meet in blocks of 64 by 64, so a set travels
-        once for each block of its cluster, not once for each pair."""
-        w = Window.partitionBy("component").orderBy("id")
-        block = F.floor((F.row_number().over(w) - 1) / 64).cast("int")
-        place = saved(components(spark, pairs).select(F.col("id").alias("cls"), F.pmod(F.xxhash64("component"), F.lit(4 * parts)).cast("int").alias("bucket"), block.alias("block")))
-        at = pairs.join(place.select(F.col("cls").alias("a"), "bucket", F.col("block").alias("x")), "a").join(place.select(F.col("cls").alias("b"), F.col("block").alias("y")), "b")
-        at = saved(at.select("bucket", "x", "y", "a", "b"))
-        ends = at.select("bucket", "x", "y", F.explode(F.array("a", "b")).alias("cls")).distinct().toDF("s_bucket", "s_x", "s_y", "cls")
-        reps = place.select("cls").join(points.select("cls", "rep"), "cls").select("cls", F.when(F.col("rep") < 2**63 - 1, F.col("rep")).alias("rep"))
-        sets = d.join(reps, d.doc_id.eqNullSafe(reps.rep)).select("cls", "text").mapInArrow(lambda it: _sets(it, size, block_bytes), "cls long, h binary")
-        key = ["bucket", "x", "y"]
-        out = saved(at.groupBy(*key).cogroup(ends.join(sets, "cls").groupBy(*(f"s_{k}" for k in key))).applyInArrow(lambda p, q: _verify(p, q, th), "a long, b long"))
-        release(spark)
-        return out
-
-    # first each set with one partner, the smallest that any cell offers
-    first = saved(candidates(None).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = verified(first)
-    comp = saved(components(spark, links))
-    more = verified(saved(candidates(comp).join(first, ["a", "b"], "left_anti")))
-    comp = saved(components(spark, links.union(more)))
-    release(spark)
-    every = prof.select("doc_id", "n", "cls").join(comp.select(F.col("id").alias("cls"), "component"), "cls", "left")
-    every = saved(every.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component")))
-    discard(prof)
-    roots = every.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    some = every.where("n > 0").join(roots, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.union(every.where("n = 0").select("doc_id", "n", F.col("doc_id")))
+    return _rows_with_components(docs, size, num, den, block_bytes, heavy_least, heavy_share, dense, list_max, cluster_shingles).drop("tk")
 
 
 def keep_one(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """The rows of docs without those that link, directly or over others, to a document with a smaller doc_id. All columns stay."""
-    gone = jaccard_components(docs, size, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs without those that link, directly or over others, to a document with a smaller doc_id. All columns stay.
+
+    Rows are judged one by one: of rows that share a doc_id only those go whose own text links so. A row with a null id goes if it links to a
+    row with an id. Repeated rows of a document that stays, and rows whose text is null or without words, stay; an empty table stays empty.
+    """
+    of = _rows_with_components(docs, size, num, den, 1 << 20, 64, 1000, 16, 8192, 1 << 21)
+    gone = of.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("g_doc"), F.col("tk").alias("g_tk")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.g_doc) & (F.xxhash64(docs.text) == gone.g_tk), "left_anti")
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = 4, num: int = 85, den: int = 100) -> dict[int, tuple[int, int]]:
