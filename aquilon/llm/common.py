@@ -227,15 +227,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds over DataFrames: every round is a min per
     node (combined before the shuffle) and an equi-join; no neighbour list is ever collected.
-    Edges are first cut to a spanning forest inside each partition.
+    Edges (a < b) are first cut to a spanning forest inside each partition.
     """
     e = saved(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"))
     before = None
     while True:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        l = large.where("a < b").distinct()
+        low = e.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))  # only these have a smaller neighbour
+        l = e.join(low, e.a == low.u, "left").select(F.coalesce("m", "a").alias("a"), "b").distinct()
         low = l.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = l.join(low, l.b == low.u).select(F.col("m").alias("x"), F.col("a").alias("y"))
         nxt = small.select("x", "y").where("x < y").union(low.select(F.col("m"), F.col("u"))).distinct()

@@ -598,8 +598,9 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     of = saved(of.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("pilot", F.expr("blocks > 1 AND pmod(xxhash64(cls, 7), sets) < 16")))
 
     def links(members: DataFrame) -> DataFrame:
-        """members: cls, one, cluster, x, y, side, label. The texts come by (doc_id, hash), so that neither null nor repeated ids matter."""
-        texts = members.join(d.withColumnRenamed("tk", "d_tk"), F.expr("one.tk <=> d_tk AND one.doc_id <=> doc_id")).select("cluster", "x", "y", "cls", "side", "label", "text")
+        """members: cls, one, cluster, x, y, side, label. The texts come by (doc_id, hash), so that neither null nor repeated ids matter. The
+        members' number follows the corpus, so they are never broadcast."""
+        texts = members.hint("merge").join(d.withColumnRenamed("tk", "d_tk"), F.expr("one.tk <=> d_tk AND one.doc_id <=> doc_id")).select("cluster", "x", "y", "cls", "side", "label", "text")
         rows = texts.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "cls")
         return saved(rows.mapInArrow(lambda it: _verify(it, size, th, block_bytes), "a long, b long"))
 
@@ -647,7 +648,7 @@ def keep_one(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> D
     """
     of = _rows_with_components(docs, size, num, den, 1 << 20, 64, 1000, 16, 8192, 1 << 21)
     gone = of.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("g_doc"), F.col("tk").alias("g_tk")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.g_doc) & (F.xxhash64(docs.text) == gone.g_tk), "left_anti")
+    return docs.join(gone.hint("merge"), docs.doc_id.eqNullSafe(gone.g_doc) & (F.xxhash64(docs.text) == gone.g_tk), "left_anti")
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = 4, num: int = 85, den: int = 100) -> dict[int, tuple[int, int]]:

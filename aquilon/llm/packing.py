@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,28 +16,46 @@ from .common import saved
 from .token_counts import tokenizer
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
-_CACHE: dict[bytes, bytes] = {}
+_CACHES: dict[str, dict[bytes, bytes]] = {}  # by the tokenizer's file
+
+
+@lru_cache
+def parts_at_spaces(spec: str) -> bool:
+    """Whether a tokenizer folds case, drops white space, and takes letters, and other signs but letters and digits, as runs of their own."""
+    t = json.loads(spec)
+    folds = t["normalizer"] or {}
+    first = ((t["pre_tokenizer"] or {}).get("pretokenizers") or [t["pre_tokenizer"] or {}])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    return (
+        any(x["type"] == "Lowercase" for x in folds.get("normalizers", [folds]) if x) and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+        and pattern.endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+    )
 
 
 def _ids(spec: str, text: bytes, cache_max: int = 1_000_000) -> bytes:
-    """The text's ids, 4 little-endian bytes each. White space only parts words in this kind of
-    tokenizer, so the ids of the runs between ASCII white space are those of the whole text."""
+    """The text's ids, 4 little-endian bytes each. Where white space only parts words (`parts_at_spaces`), the ids of the
+    runs between ASCII white space are those of the whole text; other tokenizers get whole texts."""
+    if not parts_at_spaces(spec):
+        return np.array(tokenizer(spec).encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    if spec not in _CACHES:
+        _CACHES.clear()
+    cache = _CACHES.setdefault(spec, {})
     runs = (text if b"<|" in text else text.lower()).split()  # the tokenizer folds case itself, but for special strings
-    new = [w for w in set(runs) if w not in _CACHE]
+    new = [w for w in set(runs) if w not in cache]
     if new:
-        if len(_CACHE) + len(new) > cache_max:
-            _CACHE.clear()
+        if len(cache) + len(new) > cache_max:
+            cache.clear()
             new = list(set(runs))
         # letters and a final stop or comma are pre-tokens of their own: the library sees the letters once
         stem = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[:-1].isalpha()}
-        todo = [w for w in {*new, *stem.values(), b".", b","} if w not in _CACHE and w not in stem]
+        todo = [w for w in {*new, *stem.values(), b".", b","} if w not in cache and w not in stem]
         for i in range(0, len(todo), 4096):
             part = todo[i : i + 4096]
             for w, e in zip(part, tokenizer(spec).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                _CACHE[w] = np.array(e.ids, "<u4").tobytes()
+                cache[w] = np.array(e.ids, "<u4").tobytes()
         for w, s in stem.items():
-            _CACHE[w] = _CACHE[s] + _CACHE[w[-1:]]
-    return b"".join(map(_CACHE.__getitem__, runs))
+            cache[w] = cache[s] + cache[w[-1:]]
+    return b"".join(map(cache.__getitem__, runs))
 
 
 def _cut(batches, spec: str, capacity: int, end_id: int):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, embedding_dedup, language_id, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filter
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers  # here, so that the other queries work without it
+
+    return public_tokenizers.path(name)
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,7 +26,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.report(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.report(_t(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_t(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(_t(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_array, id_column, n_parts, saved
+from .common import Rolling, id_array, id_column, n_parts, saved, text_buffers
 
 #: White space other than blank and newline; a text with it takes the slower cut.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
@@ -32,6 +33,17 @@ def pre_tokens(text: str) -> list[str]:
     return [w for w in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if w]
 
 
+def _whole(text: str) -> list[str]:
+    return [text] if text else []
+
+
+def cuts_before_blanks(spec: str) -> bool:
+    """Whether a tokenizer is byte-level BPE with the usual pattern and changes no text before."""
+    t = json.loads(spec)
+    kind = t["pre_tokenizer"] or {}
+    return t["normalizer"] is None and (kind.get("type"), kind.get("use_regex"), kind.get("add_prefix_space")) == ("ByteLevel", True, False)
+
+
 _TOKENIZERS: dict[int, object] = {}
 
 
@@ -54,17 +66,9 @@ def count_pieces(spec: str, words: list[str]) -> np.ndarray:
 
 
 def _word_part(w: pa.Array, parts: int) -> np.ndarray:
-    """A part by the bytes of each word: length, first, middle and last bytes."""
-    w = w.cast(pa.large_binary())
-    _, offs, data = w.buffers()
-    o = np.frombuffer(offs, np.int64)[w.offset : w.offset + len(w) + 1]
-    b = np.frombuffer(data, np.uint8) if data else np.zeros(1, np.uint8)
-    h = (o[1:] - o[:-1]).astype(np.uint64)
-    for k in range(8):
-        at = np.clip(np.where(k < 4, o[:-1] + k, o[1:] - (k - 3)), 0, b.size - 1)
-        h = h * np.uint64(0x9E3779B97F4A7C15) + b[at]
-    h ^= h >> np.uint64(31)
-    return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts
+    """A part by the hash of each word's bytes."""
+    buf, offs = text_buffers(w)
+    return (Rolling(buf).ranges(offs[:-1], offs[1:]) % np.uint64(parts)).astype(np.int64)
 
 
 _OUT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("first", pa.int32()), ("data", pa.binary())])
@@ -103,7 +107,7 @@ def _lists(doc: np.ndarray, code: np.ndarray, freq: np.ndarray):
     return [(step >> np.uint32(8 * b)).astype(np.uint8) for b in range(3)] + [np.where(big, 255, freq).astype(np.uint8), freq[big].astype(np.int64)]
 
 
-def _blocks(batches, parts: int, limit: int, max_words: int = 2_000_000):
+def _blocks(batches, parts: int, limit: int, cut, max_words: int = 2_000_000):
     """For each block of documents: one record of kind 0 with (ids, bytes, distinct counts) of its
     documents and their (word number, frequency) lists, and for each part one of kind 1 with the
     block's distinct pre-tokens that fall in it, sorted; words are numbered by (part, word)."""
@@ -134,7 +138,7 @@ def _blocks(batches, parts: int, limit: int, max_words: int = 2_000_000):
     for batch in batches:
         for i, text in zip(id_array(batch["doc_id"]).tolist(), batch["text"].to_pylist()):
             text = text or ""
-            c = Counter(pre_tokens(text))
+            c = Counter(cut(text))
             ids.append(i)
             sizes.append(len(text.encode()))
             lens.append(len(c))
@@ -187,7 +191,7 @@ def _sum(left: pa.Table, right: pa.Table) -> pa.Table:
 def token_counts(docs: DataFrame, tokenizer_json: str, block_bytes: int = 20 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens for each row of docs, as the library counts whole texts.
 
-    tokenizer_json: path of a byte-level BPE .json file; its text (checked: 16 MB at most) travels
+    tokenizer_json: path of a .json file (one that is not byte-level BPE with the usual pattern takes each text as one pre-token); its text (checked: 16 MB at most) travels
     to the executors. Three steps: blocks of documents list each document's distinct
     pre-tokens with frequencies; the distinct pre-tokens of all blocks are dealt by value and each is
     counted once; the counts join each block's lists and are summed. No ids are kept. Null and
@@ -197,9 +201,10 @@ def token_counts(docs: DataFrame, tokenizer_json: str, block_bytes: int = 20 <<
         spec = f.read()
     if len(spec) > 16 << 20:
         raise ValueError("tokenizer file over 16 MB")
+    cut = pre_tokens if cuts_before_blanks(spec) else _whole
     d = docs.select("doc_id", "text")
     parts = n_parts(d)
-    held = saved(d.mapInArrow(lambda it: _blocks(it, parts, block_bytes), _OUT_DDL), "kind")
+    held = saved(d.mapInArrow(lambda it: _blocks(it, parts, block_bytes, cut), _OUT_DDL), "kind")
     lists = held.where("kind = 0").select("block", "data")
     pieces = held.where("kind = 1").select("part", "block", "first", "data").groupBy("part").applyInArrow(lambda t: _pieces(t, spec), "block long, first int, n binary")
     return lists.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
