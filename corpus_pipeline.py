@@ -6,7 +6,6 @@ Parquet in the shared scratch folder and reads it again as the next one's docs.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,28 +14,33 @@ from aquilon.llm.common import release, saved
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Repeated rows and rows with null ids or texts are judged each by its text."""
     return quality.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles at 0.8 the one with the smallest doc_id stays."""
+    """Of documents linked by 5-word shingles at 0.8 the one with the smallest doc_id stays; rows without words stay."""
     return ngram_join.keep_one(docs, size=5, num=80, den=100)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines and runs of sentences are cut out where they stood earlier; n_chars follows the text."""
-    cut = substring_dedup.dedup_units(docs, column="_removed").drop("_removed")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else cut
+    """Repeated lines and runs of sentences are cut out where they stood earlier; n_chars follows the text. Null texts stay null."""
+    spans = "removed"
+    while spans.lower() in [c.lower() for c in docs.columns]:
+        spans += "_"
+    cut = substring_dedup.dedup_units(docs, column=spans)
+    return cut.select([F.length("text").cast("long").alias(c) if c == "n_chars" else cut[c] for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go; rows without words stay, and so do all if the benchmark is empty."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, tokenised, in sequences of at most 4096 tokens."""
+    """What is left, tokenised, in sequences of at most 4096 tokens; a null text is one end id."""
+    import public_tokenizers  # here, so that the module can be imported without it
+
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
