@@ -8,6 +8,7 @@ of one JVM row for each value; Spark still deals, spills and retries these rows.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import math
 import tempfile
@@ -130,6 +131,21 @@ def row_blocks(offs: np.ndarray, limit: int):
         i = j
 
 
+def trim() -> None:
+    """Gives memory that Python no longer uses back to the machine: workers live on, and other operators follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def lean(rows):
+    """The same rows; memory is given back at their end."""
+    yield from rows
+    trim()
+
+
 # ---------------------------------------------------------------- hashes
 
 
@@ -324,6 +340,8 @@ def answer_keyed(table: pa.Table, parts: int) -> pa.Table:
     dup = later(key, doc, pos)
     rows = list(deal(bucket_np(doc[dup], parts), doc[dup], tk[dup], pos[dup]))
     rows += [(p, b) for p, b, k in zip(table["part"].to_pylist(), blobs, kinds) if k == 1]
+    del key, doc, tk, pos, dup
+    trim()
     return reply_table(rows)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, components, deal, discard, id_array, mix, n_parts, pack, release, row_blocks, saved, text_buffers, unpack, unpack_all
+from .common import U, Rolling, components, deal, discard, id_array, lean, mix, n_parts, pack, release, row_blocks, saved, text_buffers, trim, unpack, unpack_all
 
 GROUPS = 256  # counts of one byte; with fewer, the bound says nothing of sets of a few thousand
 LEAF = 32
@@ -172,7 +172,7 @@ def _routes(h: np.ndarray, d: np.ndarray, n: np.ndarray, th: Threshold, heavy: n
     return np.concatenate([k for k, _ in out]), np.concatenate([x for _, x in out])
 
 
-def _frequent(batches, size: int, limit: int, share: int, flush_at: int = 2_000_000):
+def _frequent(batches, size: int, limit: int, share: int, flush_at: int = 1_000_000):
     """Shingles that stand in 1 / share of a block's documents and in two at least, with their number; the documents under a null."""
     held, n_held, docs = [], 0, 0
 
@@ -199,7 +199,7 @@ def _frequent(batches, size: int, limit: int, share: int, flush_at: int = 2_000_
 def heavy_shingles(texts: DataFrame, size: int, limit: int, least: int, share: int, most: int = 1 << 18) -> np.ndarray:
     """Sorted hashes of the most frequent shingles: those in `least` documents and 1 / share of all at least, `most` of them at most. They
     only serve to route sets apart; any set of shingles, also an empty one, gives the same links."""
-    counts = texts.mapInArrow(lambda it: _frequent(it, size, limit, 2 * share), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lambda it: lean(_frequent(it, size, limit, 2 * share)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counts = saved(counts.where(f"h IS NULL OR n >= {least}"))
     docs = counts.where("h IS NULL").agg(F.max("n")).first()[0] or 0
     top = counts.where(f"h IS NOT NULL AND n >= {docs // share}").orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
@@ -247,7 +247,7 @@ def _sorted_runs(key: np.ndarray, cls: np.ndarray):
     return key, cls, at, np.diff(np.append(at, key.size))
 
 
-def _profile(batches, parts: int, size: int, th: Threshold, limit: int, heavy: np.ndarray, dense: int, flush_at: int = 800_000):
+def _profile(batches, parts: int, size: int, th: Threshold, limit: int, heavy: np.ndarray, dense: int, flush_at: int = 500_000):
     """kind 0: profiles of documents; kind 1: (key, set) pairs for a part; kind 2: pairs of sets that meet. A key that more than `dense` sets
     of one block have leaves the block once, with the least of them; the others are tied to it."""
     held, n_held = [], 0
@@ -339,6 +339,7 @@ def _cells(table: pa.Table, parts: int) -> pa.Table:
         name = mix(np.add.reduceat(mix(members.view(U)), np.cumsum(n) - n) + n.astype(U))
         names = np.repeat(name, n)
         rows += [(1, p, b) for p, b in deal((names % U(parts)).astype(np.int32), names, members)]
+    trim()
     return pa.Table.from_batches([_rows(rows)])
 
 
@@ -577,7 +578,7 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     heavy = heavy_shingles(d.select("text"), size, block_bytes, heavy_least, heavy_share)
     release(spark)
     shared = spark.sparkContext.broadcast(heavy)  # 2 MB at most
-    met = d.mapInArrow(lambda it: _profile(it, parts, size, th, block_bytes, shared.value, dense), _OUT_DDL)
+    met = d.mapInArrow(lambda it: lean(_profile(it, parts, size, th, block_bytes, shared.value, dense)), _OUT_DDL)
     met = saved(met.groupBy("part").applyInArrow(lambda t: _cells(t, parts), _OUT_DDL), "kind")
     release(spark)
     prof = met.where("kind = 0").select("blob").mapInArrow(_unprofile, "doc_id long, tk long, n long, cls long, vec binary")
@@ -587,7 +588,7 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     classes = saved(prof.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), one, F.first("n").alias("n"), F.first("vec").alias("vec")))
 
     rows = lists.join(classes.select("cls", "n", "vec"), "cls").select("list", "cls", "n", "vec").repartition(parts, "list").sortWithinPartitions("list")
-    near = saved(components(spark, rows.mapInArrow(lambda it: _search(it, th, list_max), "a long, b long").union(ties)))
+    near = saved(components(spark, rows.mapInArrow(lambda it: lean(_search(it, th, list_max)), "a long, b long").union(ties)))
     release(spark)
 
     # a cluster's sets meet in blocks; a few sets of a cluster of several blocks go to all of them
@@ -602,7 +603,7 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
         members' number follows the corpus, so they are never broadcast."""
         texts = members.hint("merge").join(d.withColumnRenamed("tk", "d_tk"), F.expr("one.tk <=> d_tk AND one.doc_id <=> doc_id")).select("cluster", "x", "y", "cls", "side", "label", "text")
         rows = texts.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "cls")
-        return saved(rows.mapInArrow(lambda it: _verify(it, size, th, block_bytes), "a long, b long"))
+        return saved(rows.mapInArrow(lambda it: lean(_verify(it, size, th, block_bytes)), "a long, b long"))
 
     own = of.select("cls", "one", "cluster", F.col("block").alias("x"))
     pilots = of.where("pilot").select("cls", "one", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).where("x <> block").drop("block")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import lean, saved
 from .token_counts import tokenizer
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -185,7 +185,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: i
         spec = f.read()
     if len(spec) > 16 << 20:
         raise ValueError("tokenizer file over 16 MB")
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, spec, capacity, end_id), _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: lean(_cut(it, spec, capacity, end_id)), _PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import EXCHANGE_DDL, PLACED, REPLY_DDL, Replies, Rolling, U, answer_keyed, bucket_col, deal_keyed, exchange_rows, id_array, id_column, mix, n_parts, row_blocks, saved, text_buffers
+from .common import EXCHANGE_DDL, PLACED, REPLY_DDL, Replies, Rolling, U, answer_keyed, bucket_col, deal_keyed, exchange_rows, id_array, id_column, lean, mix, n_parts, row_blocks, saved, text_buffers, trim
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -150,6 +150,7 @@ def _apply(docs: pa.Table, replies: pa.Table, min_run: int, min_unit: int, whole
         texts.append(text)
         spans.append([{"start": s, "end": e} for s, e in cut])
     cols = {c: docs[c] for c in docs.column_names} | {"text": pa.array(texts, pa.string()), column: pa.array(spans, _SPAN)}
+    trim()
     return pa.table([cols[f.name].cast(f.type) for f in schema], schema=schema)
 
 
@@ -171,7 +172,7 @@ def dedup_units(docs: DataFrame, min_run: int = 50, min_unit: int = 30, column:
         raise ValueError(f"docs has a column {column} already")
     d = docs.select("doc_id", "text")
     parts = n_parts(d)
-    rows = d.mapInArrow(lambda it: _emit(it, parts, block_bytes, whole_lines), EXCHANGE_DDL)
+    rows = d.mapInArrow(lambda it: lean(_emit(it, parts, block_bytes, whole_lines)), EXCHANGE_DDL)
     replies = saved(rows.groupBy("part").applyInArrow(lambda t: answer_keyed(t, parts), REPLY_DDL))
     out = StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` array<struct<start:bigint,end:bigint>>")
     arrow = to_arrow_schema(out)
