@@ -625,7 +625,7 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     return saved(out)
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20, heavy_least: int = 64, heavy_share: int = 1000, dense: int = 16, list_max: int = 8192, cluster_shingles: int = 1 << 21) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20, heavy_least: int = 64, heavy_share: int = 1000, dense: int = 16, list_max: int = 8192, cluster_shingles: int = 1 << 19) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
     Two documents link when the Jaccard similarity of their sets of `size`-word shingles is num / den or more; a document with
@@ -647,7 +647,7 @@ def keep_one(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> D
     Rows are judged one by one: of rows that share a doc_id only those go whose own text links so. A row with a null id goes if it links to a
     row with an id. Repeated rows of a document that stays, and rows whose text is null or without words, stay; an empty table stays empty.
     """
-    of = _rows_with_components(docs, size, num, den, 1 << 20, 64, 1000, 16, 8192, 1 << 21)
+    of = _rows_with_components(docs, size, num, den, 1 << 20, 64, 1000, 16, 8192, 1 << 19)
     gone = of.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("g_doc"), F.col("tk").alias("g_tk")).distinct()
     return docs.join(gone.hint("merge"), docs.doc_id.eqNullSafe(gone.g_doc) & (F.xxhash64(docs.text) == gone.g_tk), "left_anti")
 
