@@ -598,23 +598,26 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     of = of.join(big, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     of = saved(of.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("pilot", F.expr("blocks > 1 AND pmod(xxhash64(cls, 7), sets) < 16")))
 
-    def links(members: DataFrame) -> DataFrame:
-        """members: cls, one, cluster, x, y, side, label. The texts come by (doc_id, hash), so that neither null nor repeated ids matter. The
-        members' number follows the corpus, so they are never broadcast."""
-        texts = members.hint("merge").join(d.withColumnRenamed("tk", "d_tk"), F.expr("one.tk <=> d_tk AND one.doc_id <=> doc_id")).select("cluster", "x", "y", "cls", "side", "label", "text")
-        rows = texts.repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "cls")
+    # the texts come by (doc_id, hash), so that neither null nor repeated ids matter; members follow the corpus, so they are never broadcast
+    texts = of.hint("merge").join(d.withColumnRenamed("tk", "d_tk"), F.expr("one.tk <=> d_tk AND one.doc_id <=> doc_id"))
+    texts = saved(texts.select("cls", "cluster", "blocks", "block", "pilot", "text"))
+    release(spark)
+
+    def links(rows: DataFrame) -> DataFrame:
+        """rows: cls, cluster, x, y, side, label, text."""
+        rows = rows.select("cluster", "x", "y", "cls", "side", "label", "text").repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "cls")
         return saved(rows.mapInArrow(lambda it: lean(_verify(it, size, th, block_bytes)), "a long, b long"))
 
-    own = of.select("cls", "one", "cluster", F.col("block").alias("x"))
-    pilots = of.where("pilot").select("cls", "one", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).where("x <> block").drop("block")
-    found = links(own.union(pilots).select("*", F.lit(-1).alias("y"), F.lit(-1).alias("side"), F.col("cls").alias("label")))
+    every_block = F.sequence(F.lit(0), F.col("blocks") - 1)
+    at = F.when(F.col("pilot"), every_block).otherwise(F.array("block"))
+    found = links(texts.withColumn("x", F.explode(at)).select("*", F.lit(-1).alias("y"), F.lit(-1).alias("side"), F.col("cls").alias("label")))
     comp = saved(components(spark, found))
     if not big.isEmpty():  # pairs of blocks, in clusters that are not yet one component
-        label = of.where("blocks > 1").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
+        label = of.where("blocks > 1").select("cls", "cluster").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
         apart = label.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-        pairs = label.join(apart, "cluster").select("cls", "one", "cluster", "block", "label", other).where("o <> block")
-        more = links(pairs.select("cls", "one", "cluster", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), F.col("block").alias("side"), "label"))
+        label = label.join(apart, "cluster").select("cls", "label")
+        pairs = texts.where("blocks > 1").join(label, "cls").withColumn("o", F.explode(every_block)).where("o <> block")
+        more = links(pairs.select("*", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), F.col("block").alias("side")))
         comp = saved(components(spark, found.union(more)))
     release(spark)
 
@@ -625,7 +628,7 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     return saved(out)
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20, heavy_least: int = 64, heavy_share: int = 1000, dense: int = 16, list_max: int = 8192, cluster_shingles: int = 1 << 19) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20, heavy_least: int = 64, heavy_share: int = 1000, dense: int = 16, list_max: int = 8192, cluster_shingles: int = 3 << 18) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
     Two documents link when the Jaccard similarity of their sets of `size`-word shingles is num / den or more; a document with
@@ -647,7 +650,7 @@ def keep_one(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> D
     Rows are judged one by one: of rows that share a doc_id only those go whose own text links so. A row with a null id goes if it links to a
     row with an id. Repeated rows of a document that stays, and rows whose text is null or without words, stay; an empty table stays empty.
     """
-    of = _rows_with_components(docs, size, num, den, 1 << 20, 64, 1000, 16, 8192, 1 << 19)
+    of = _rows_with_components(docs, size, num, den, 1 << 20, 64, 1000, 16, 8192, 3 << 18)
     gone = of.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("g_doc"), F.col("tk").alias("g_tk")).distinct()
     return docs.join(gone.hint("merge"), docs.doc_id.eqNullSafe(gone.g_doc) & (F.xxhash64(docs.text) == gone.g_tk), "left_anti")
 

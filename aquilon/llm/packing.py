@@ -3,72 +3,119 @@
 from __future__ import annotations
 
 import json
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, saved
+from .common import lean, row_blocks, saved, text_buffers
 from .token_counts import tokenizer
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
-_CACHES: dict[str, dict[bytes, bytes]] = {}  # by the tokenizer's file
+_ENCODERS: dict[int, "Encoder"] = {}  # by the hash of the tokenizer's file
 
 
-@lru_cache
 def parts_at_spaces(spec: str) -> bool:
     """Whether a tokenizer folds case, drops white space, and takes letters, and other signs but letters and digits, as runs of their own."""
     t = json.loads(spec)
     folds = t["normalizer"] or {}
-    first = ((t["pre_tokenizer"] or {}).get("pretokenizers") or [t["pre_tokenizer"] or {}])[0]
+    steps = (t["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    first = steps[0]
     pattern = (first.get("pattern") or {}).get("Regex", "")
     return (
-        any(x["type"] == "Lowercase" for x in folds.get("normalizers", [folds]) if x) and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+        t["model"]["type"] == "BPE" and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in steps[1:]] == [("ByteLevel", False, False)]
+        and any(x["type"] == "Lowercase" for x in folds.get("normalizers", [folds]) if x) and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
         and pattern.endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
     )
 
 
-def _ids(spec: str, text: bytes, cache_max: int = 1_000_000) -> bytes:
-    """The text's ids, 4 little-endian bytes each. Where white space only parts words (`parts_at_spaces`), the ids of the
-    runs between ASCII white space are those of the whole text; other tokenizers get whole texts."""
-    if not parts_at_spaces(spec):
-        return np.array(tokenizer(spec).encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-    if spec not in _CACHES:
-        _CACHES.clear()
-    cache = _CACHES.setdefault(spec, {})
-    runs = (text if b"<|" in text else text.lower()).split()  # the tokenizer folds case itself, but for special strings
-    new = [w for w in set(runs) if w not in cache]
-    if new:
-        if len(cache) + len(new) > cache_max:
-            cache.clear()
-            new = list(set(runs))
-        # letters and a final stop or comma are pre-tokens of their own: the library sees the letters once
-        stem = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[:-1].isalpha()}
-        todo = [w for w in {*new, *stem.values(), b".", b","} if w not in cache and w not in stem]
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            for w, e in zip(part, tokenizer(spec).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        for w, s in stem.items():
-            cache[w] = cache[s] + cache[w[-1:]]
-    return b"".join(map(cache.__getitem__, runs))
-
-
-def _cut(batches, spec: str, capacity: int, end_id: int):
+#: Words that no normalizer changes and that are one pre-token: lower-case letters of one code point each.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_ASCII = re.compile(rb"[a-z0-9!-&(-/:-@\[-`{-~]+").fullmatch
+_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: The byte-level alphabet: a byte that Latin-1 prints stands for itself, the others for 256 and up, in order.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b != 173]
+_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class Encoder:
+    """Ids of whole texts, 4 little-endian bytes each. Where white space only parts words (`parts_at_spaces`), the ids of the
+    runs between ASCII white space are those of the whole text: each distinct run of a block is encoded once, and the ids
+    of the first `keep` runs are kept for later blocks (frequent runs come early). Other tokenizers get whole texts."""
+
+    def __init__(self, spec: str, keep: int = 200_000):
+        self.tokenizer, self.by_words, self.keep = tokenizer(spec), parts_at_spaces(spec), keep
+        self.pieces = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {}
+
+    def block(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        runs = [(t if b"<|" in t else t.lower()).split() for t in texts]  # the tokenizer folds case itself, but for special strings
+        words = set().union(*runs)
+        new = self._encode(words.difference(self.known))
+        if len(self.known) < self.keep:
+            self.known |= new
+            get = self.known.__getitem__
+        else:
+            get = (new | {w: self.known[w] for w in words.difference(new)}).__getitem__
+        return [b"".join(map(get, r)) for r in runs]
+
+    def _encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A printable ASCII word without an apostrophe falls into runs of letters, digits and runs of other signs, which are
+        pre-tokens; runs of letters go to the library's model alone, all else whole to the library."""
+        known, model, pack = self.known, self.pieces, struct.pack
+        cut = {w: _RUNS(w) for w in words if not w.isalpha() and _ASCII(w) and b"<|" not in w}
+        out: dict[bytes, bytes] = {}
+        rest = []
+        for w in words.difference(cut).union(*cut.values()) if cut else words:
+            if w in known:
+                out[w] = known[w]
+            elif w.isalpha() and w.islower():
+                ids = [x.id for x in model(w.decode())]
+                out[w] = pack(f"<{len(ids)}I", *ids)
+            elif _PLAIN(w.decode()):
+                ids = [x.id for x in model(w.decode("latin-1").translate(_ALPHABET))]
+                out[w] = pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                out[w] = pack(f"<{len(e.ids)}I", *e.ids)
+        for w, runs in cut.items():
+            out[w] = b"".join([out[r] for r in runs])
+        return out
+
+
+def encoder(spec: str) -> Encoder:
+    key = hash(spec)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(spec)
+    return _ENCODERS[key]
+
+
+def _cut(batches, spec: str, capacity: int, end_id: int, limit: int = 4 << 20):
+    ids_of = encoder(spec)
     tail = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        out: list[tuple] = []
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            ids = _ids(spec, (text or "").encode()) + tail
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                piece = ids[at : at + 4 * capacity]
-                out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-        cols = list(zip(*out)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        buf, offs = text_buffers(batch["text"])
+        docs = batch["doc_id"].to_pylist()
+        for i, j in row_blocks(offs, limit):
+            out: list[tuple] = []
+            for doc, ids in zip(docs[i:j], ids_of.block([buf[offs[k] : offs[k + 1]].tobytes() for k in range(i, j)])):
+                ids += tail
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    piece = ids[at : at + 4 * capacity]
+                    out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
