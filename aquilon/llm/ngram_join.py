@@ -294,9 +294,14 @@ def _profile(batches, parts: int, size: int, th: Threshold, limit: int, heavy: n
 
 def _counts(h: np.ndarray, d: np.ndarray, n_sets: int) -> np.ndarray:
     """The group counts of sets, a byte each; where one has too many for a byte, all are FULL, which rules nothing out."""
-    counts = np.bincount(d * GROUPS + (h >> U(56)).astype(np.int64), minlength=n_sets * GROUPS).reshape(-1, GROUPS)
-    counts[(counts > 254).any(1)] = FULL
-    return counts.astype(np.uint8)
+    out = np.empty((n_sets, GROUPS), np.uint8)
+    for lo in range(0, n_sets, 512):
+        hi = min(n_sets, lo + 512)
+        i, j = np.searchsorted(d, [lo, hi])
+        counts = np.bincount((d[i:j] - lo) * GROUPS + (h[i:j] >> U(56)).astype(np.int64), minlength=(hi - lo) * GROUPS).reshape(-1, GROUPS)
+        counts[(counts > 254).any(1)] = FULL
+        out[lo:hi] = counts
+    return out
 
 
 def _unprofile(batches):
@@ -458,7 +463,12 @@ def link_forest(h: np.ndarray, d: np.ndarray, n: np.ndarray, label: np.ndarray,
     if (joined.of == joined.of[0]).all():
         return []
     at = np.append(0, np.cumsum(n))
-    _, code = np.unique(h, return_inverse=True)
+    order = np.argsort(h)  # shingles as small numbers, in little memory
+    rank = np.ones(h.size, np.int32)
+    rank[1:] = h[order[1:]] != h[order[:-1]]
+    code = np.empty(h.size, np.int32)
+    code[order] = np.cumsum(rank, dtype=np.int32) - 1
+    del order, rank
     sets = [code[at[k] : at[k + 1]] for k in tree.order.tolist()]
     mark = np.zeros(code.max() + 1, np.uint8)
     out = []
@@ -556,8 +566,9 @@ def _verify(batches, size: int, th: Threshold, limit: int):
         for i, j in row_blocks(offs, limit):
             h, d = shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
             hs.append(h)
-            ds.append(d + i)
+            ds.append((d + i).astype(np.int32))
         h, d = np.concatenate(hs), np.concatenate(ds)
+        del hs, ds, buf
         cls, side = np.asarray(t["cls"]), np.asarray(t["side"])
         _, label = np.unique(np.asarray(t["label"]), return_inverse=True)
         if p := link_forest(h, d, np.bincount(d, minlength=cls.size), label, side if (side >= 0).any() else None, th):
@@ -628,7 +639,7 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     return saved(out)
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20, heavy_least: int = 64, heavy_share: int = 1000, dense: int = 16, list_max: int = 8192, cluster_shingles: int = 3 << 18) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block_bytes: int = 1 << 20, heavy_least: int = 64, heavy_share: int = 1000, dense: int = 16, list_max: int = 8192, cluster_shingles: int = 3 << 19) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
     Two documents link when the Jaccard similarity of their sets of `size`-word shingles is num / den or more; a document with
@@ -650,7 +661,7 @@ def keep_one(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> D
     Rows are judged one by one: of rows that share a doc_id only those go whose own text links so. A row with a null id goes if it links to a
     row with an id. Repeated rows of a document that stays, and rows whose text is null or without words, stay; an empty table stays empty.
     """
-    of = _rows_with_components(docs, size, num, den, 1 << 20, 64, 1000, 16, 8192, 3 << 18)
+    of = _rows_with_components(docs, size, num, den, 1 << 20, 64, 1000, 16, 8192, 3 << 19)
     gone = of.where("n_shingles > 0 AND component_id IS NOT NULL AND NOT component_id <=> doc_id").select(F.col("doc_id").alias("g_doc"), F.col("tk").alias("g_tk")).distinct()
     return docs.join(gone.hint("merge"), docs.doc_id.eqNullSafe(gone.g_doc) & (F.xxhash64(docs.text) == gone.g_tk), "left_anti")
 
