@@ -152,7 +152,8 @@ def _chunks(docs: DataFrame, benchmark: DataFrame, chunk_bytes: int):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """The rows of docs without any occurrence of a benchmark window, all columns kept; nothing is shuffled."""
+    """The rows of docs without any occurrence of a benchmark window, all columns kept; nothing is shuffled. Rows with a
+    null or wordless text stay, repeated rows are judged each; an empty benchmark, or one without words, takes nothing."""
     for held in _chunks(docs, benchmark, chunk_bytes):
 
         def keep(batches, held=held):

@@ -82,8 +82,8 @@ class Model:
         self.head = other + 1
         self.symbols = self.head + 32 * bool(rare)
         code = {c: k + 1 for k, c in enumerate(order[:letters])} | {c: self.symbols + k for k, c in enumerate(rare)}
-        self.map = np.full(0x110000, other, np.int32)  # every sign beyond the first 65,536 counts as a letter
-        self.map[:0x10000] = [(code.get(chr(u).lower(), other) if chr(u).isalpha() else _SPACE) for u in range(0x10000)]
+        self.map = np.full(0x110000, _SPACE, np.int32)
+        self.map[:0x40000] = [(code.get(chr(u).lower(), other) if chr(u).isalpha() else _SPACE) for u in range(0x40000)]  # no letters beyond
         for c, k in code.items():
             if ord(c) >= 0x10000:
                 self.map[[ord(x) for x in {c, c.upper()} if len(x) == 1]] = k
@@ -162,14 +162,15 @@ def _predict(batches, held, block_bytes: int):
 
 def training_sample(docs: DataFrame, train_chars: int = 24_000, docs_per_lang: int = 48, max_langs: int = 200) -> dict[str, str]:
     """A bounded sample for each language: at most `docs_per_lang` documents in the order of a hash of
-    doc_id, and of them `train_chars` characters. Only rows with text, lang and crc32(doc_id) mod 5 <> 0."""
+    doc_id, and of them, taken one after the other from their beginnings, `train_chars` characters. Only rows with text, lang and crc32(doc_id) mod 5 <> 0."""
     d = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = d.select("doc_id", "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= docs_per_lang)
     chosen = {r[0]: r[2] for r in ids.limit(docs_per_lang * max_langs + 1).collect()}
     if len(chosen) > docs_per_lang * max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    rows = d.where(F.col("doc_id").isin(list(chosen))).select("lang", "doc_id", F.substring("text", 1, train_chars)).collect()
+    first = F.min(F.substring("text", 1, train_chars))  # of rows that share a doc_id, one
+    rows = d.where(F.col("doc_id").isin(list(chosen))).groupBy("lang", "doc_id").agg(first).collect()
     out: dict[str, str] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], chosen[r[1]], r[2])):
         if any(c.isalpha() for c in text) and len(out.get(lang, "")) < train_chars:

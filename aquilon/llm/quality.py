@@ -120,7 +120,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with score >= 0.5, all columns kept. The texts stay where they are: the model is
-    small and each row is scored in place."""
+    small and each row is scored in place. Null texts are scored as empty ones, repeated rows and rows with a null id each by
+    its text; a score of just 0.5 stays, so without enough labels all rows do; an empty table stays empty."""
     model = fit(saved(document_features(docs)), labels)
 
     def keep(batches):

@@ -153,6 +153,17 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), WORDS).count() == 0
 
 
+def test_ids_of_two_tokenizers():
+    texts = [t.encode() for t in _texts()] + ["Hello <|endoftext|> ABC d'où ÀÉß ﬁ 12-3 (x),".encode()]
+    for path in (WORDS, BPE, WORDS):
+        spec = open(path, encoding="utf-8").read()
+        want = [token_counts.tokenizer(spec).encode(t.decode(), add_special_tokens=False).ids for t in texts]
+        assert packing.parts_at_spaces(spec) == (path == WORDS) != token_counts.cuts_before_blanks(spec)
+        few = packing.Encoder(spec, keep=10)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(spec).block(texts)] == want == [np.frombuffer(x, "<u4").tolist() for x in few.block(texts)]
+
+
 def test_plan_is_whole_and_tight():
     rng = random.Random(6)
     for k in range(200):
@@ -292,6 +303,13 @@ def test_language(spark, sf):
     assert language_id.identify(odd.where("false")).count() == 0
 
 
+def test_language_without_letters(spark):
+    train = [(i, "the cat sat on the mat and slept " * 5) for i in range(20)]
+    d = docs(spark, train + [(100, "😀😀😀"), (101, "12 !? 😀"), (102, "𝔱𝔥𝔢"), (0, "the dog")]).withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(d).collect()}
+    assert got[100] == got[101] == "und" and got[102] == got[1] == "en"
+
+
 def test_language_of_many_scripts():
     rng = random.Random(3)
     plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(60)]
@@ -389,7 +407,8 @@ def test_routes_lose_no_pair():
         if 100 * same_ < 85 * (a.size + b.size - same_):
             continue
         h, d = np.concatenate([a, b]), np.repeat([0, 1], [a.size, b.size])
-        key, doc = ngram_join._routes(h, d, np.array([a.size, b.size]), th)
+        heavy = np.sort(rng.choice(h, rng.integers(0, h.size + 1), replace=False)) if rng.random() < 0.5 else np.zeros(0, np.uint64)
+        key, doc = ngram_join._routes(h, d, np.array([a.size, b.size]), th, np.unique(heavy))
         assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist())
         counts = [np.bincount((x >> np.uint64(58)).astype(int), minlength=64) for x in (a, b)]
         assert np.minimum(*counts).sum() >= th.overlap(a.size + b.size)
@@ -398,16 +417,76 @@ def test_routes_lose_no_pair():
 def test_tree_finds_all():
     rng = np.random.default_rng(2)
     th = ngram_join.Threshold(85, 100)
-    base = rng.integers(0, 6, (5, 64))
-    vec = np.maximum(0, base[rng.integers(0, 5, 150)] + rng.integers(-1, 2, (150, 64)) * (rng.random((150, 64)) < 0.1)).astype(np.int32)
-    n = vec.sum(1)
-    comp = rng.integers(0, 7, 150)
-    t = ngram_join.Tree(np.arange(150), n, vec, comp)
-    got = {tuple(sorted((int(t.cls[i]), int(t.cls[j])))) for x, y in t.pairs(th, True) for i, j in zip(x, y)}
-    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if comp[i] != comp[j] and np.minimum(vec[i], vec[j]).sum() >= th.overlap(n[i] + n[j])}
+    size = 1500  # three levels of nodes
+    base = rng.integers(0, 6, (5, ngram_join.GROUPS))
+    vec = np.maximum(0, base[rng.integers(0, 5, size)] + rng.integers(-1, 2, (size, ngram_join.GROUPS)) * (rng.random((size, ngram_join.GROUPS)) < 0.1)).astype(np.uint8)
+    vec[7] = ngram_join.FULL
+    n = vec.sum(1, dtype=np.int64)
+    n[7] = n[8]
+    t = ngram_join.Tree(n, vec, th)
+    assert len(t.levels) == 2 and t.levels[-1][1].size <= ngram_join.FAN
+    label = rng.integers(0, 7, size)
+    got = {tuple(sorted((int(t.order[i]), int(t.order[j])))) for i, js in t.candidates(lambda i, j: label[t.order[i]] == label[t.order[j]]) for j in js}
+    want = set()
+    for i in range(size):
+        bound = np.minimum(vec[i], vec[:i]).sum(1, dtype=np.int64)
+        need = th.overlap(n[i] + n[:i])
+        ok = ((bound >= need) | (vec[:i, 0] == 255) | (vec[i, 0] == 255)) & (np.minimum(n[i], n[:i]) >= need) & (label[i] != label[:i])
+        want |= {(int(j), i) for j in np.flatnonzero(ok)}
     assert got == want
 
 
+def test_alike_below_the_threshold_gives_no_rows():
+    """5,000 sets alike but not linked: no link is written, however many pairs are compared; 3,000 linked ones give a forest."""
+    rng, th = np.random.default_rng(4), ngram_join.Threshold(80, 100)
+    for size, keep, least, most in ((5000, 0.7, 0, 0), (3000, 0.99, 2999, 2999)):
+        base = rng.integers(0, 2**63, 120).astype(np.uint64)
+        h = np.tile(base, (size, 1))
+        gone = rng.random(h.shape) > keep
+        h[gone] = rng.integers(0, 2**63, int(gone.sum())).astype(np.uint64)
+        h.sort(1)
+        found = ngram_join.link_forest(h.ravel(), np.repeat(np.arange(size), 120), np.full(size, 120), np.arange(size), None, th)
+        assert least <= len(found) <= most
+
+
+@pytest.mark.parametrize("how", [{"heavy_least": 2, "heavy_share": 30, "dense": 3}, {"heavy_least": 3, "heavy_share": 50, "dense": 2, "list_max": 4, "cluster_shingles": 600, "block_bytes": 500}])
+def test_jaccard_is_alike_however_split(spark, how):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(300)]
+    line = [" ".join(rng.choice(vocab) for _ in range(9)) for _ in range(5)]
+    rows = []
+    for _ in range(20):
+        base = [rng.choice(vocab) for _ in range(rng.choice([3, 6, 12, 40, 150, 400]))]
+        for _ in range(rng.randint(1, 14)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 25))):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            if rng.random() < 0.3:
+                w[rng.randrange(len(w)) : 0] = rng.choice(line).split()
+            rows.append((len(rows), " ".join(w)))
+    rows += [(600 + k, line[0] + " " + line[1]) for k in range(3)]
+    got = ngram_join.jaccard_components(docs(spark, rows), 5, 80, 100, **how).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == ngram_join.brute_force(rows, 5, 80, 100)
+
+
+def test_keep_one_judges_rows(spark):
+    same, own = "one two three four five six seven", "a text of its own that nobody else has"
+    rows = [(3, same), (7, same), (7, own), (7, own), (None, same), (None, own + " but null"), (9, None), (-(2**63), "least id of all there are")]
+    kept = ngram_join.keep_one(docs(spark, rows).withColumn("g_tk", F.lit(1)).withColumn("cls", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "g_tk", "cls"]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows) - Counter([(7, same), (None, same)])
+    got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs(spark, rows)).collect()}
+    assert got == {(3, 3), (7, 3), (7, 7), (None, 3), (None, None), (9, 9), (-(2**63), -(2**63))}
+
+
+def test_parts_follow_what_is_read(spark, sf):
+    made = docs(spark, [(1, "x")])
+    read = spark.read.parquet(f"{sf}/documents.parquet")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.n_parts(made) == common.n_parts(made.join(made, "doc_id")) == least
+    assert common.n_parts(read) == common.n_parts(read.join(read.select("doc_id"), "doc_id")) == least
+
+
 def test_jaccard_odd(spark):
     got = ngram_join.jaccard_components(docs(spark, ODD)).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ODD)
@@ -440,7 +519,8 @@ def test_pipeline_stages(spark, sf):
     assert packed.select("doc_id").distinct().count() == d.count()
     odd = docs(spark, ODD).withColumn("lang", F.lit("en")).withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.lit(1).cast("long"))
     for _, stage in P.STAGES:
-        assert stage(spark, odd, sf).count() >= 0 and stage(spark, odd.where("false"), sf).count() == 0
+        out = stage(spark, odd.withColumn("removed", F.lit(1)), sf)
+        assert 0 < out.count() <= len(ODD) + 30_000 // 4096 + 1 and stage(spark, odd.where("false"), sf).count() == 0
 
 
 def test_near_duplicate_stage(spark, sf):
