@@ -87,7 +87,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int):
     a = U(0x9E3779B97F4A7C15)
     h = np.zeros(max(0, m - size + 1), U)
     for k in range(size):
-        h = h * a + w[k : m - size + 1 + k]
+        h = h * a + w[k : k + h.size]
     ok = doc[: h.size] == doc[size - 1 :] if h.size else np.zeros(0, bool)
     hs, ds = [mix(h[ok] + U(size))], [doc[: h.size][ok]]
     first = np.cumsum(count) - count
