@@ -30,6 +30,15 @@ class TrajectoryFrame:
             raise ValueError(f"format must be one of {sorted(by)}")
         return cls(*by[format](spark, path, **options), semantics)
 
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        return self.atoms, self.frames
+
+    def _with_atoms(self, atoms: DataFrame, snapshot: int) -> TrajectoryFrame:
+        """Another set of atoms for one frame: frames keep their boxes, their numbers of atoms are counted anew."""
+        n = atoms.groupBy(*FRAME).agg(F.count("*").cast("int").alias("n_atoms"))
+        frames = self.frames.where(F.col("snapshot") == snapshot)
+        return TrajectoryFrame(atoms, frames.drop("n_atoms").join(n, FRAME).select(frames.columns), "as_written" if self.as_written else "documented")
+
     def at(self, snapshot: int) -> TrajectoryFrame:
         on = F.col("snapshot") == snapshot
         return TrajectoryFrame(self.atoms.where(on), self.frames.where(on), "as_written" if self.as_written else "documented")
@@ -198,7 +207,7 @@ class TrajectoryFrame:
         return TrajectoryFrame(*manipulate.expand(self, snapshot, remove_ions))
 
     def remove_molecules(self, n: int = 1, snapshot: int = 0, o_ids: list[int] | None = None, seed: int = 0) -> TrajectoryFrame:
-        return TrajectoryFrame(manipulate.remove_molecules(self, n, snapshot, o_ids, seed), self.frames.where(F.col("snapshot") == snapshot))
+        return self._with_atoms(manipulate.remove_molecules(self, n, snapshot, o_ids, seed), snapshot)
 
     def remove_from_expanded(self, n: int, snapshot: int = 0, seed: int = 0) -> TrajectoryFrame:
         return manipulate.remove_from_expanded(self, n, snapshot, seed)
@@ -210,7 +219,7 @@ class TrajectoryFrame:
         return manipulate.displace(self, snapshot, o_idx, target, eps, seed, copies)
 
     def fill_hydroxide(self, snapshot: int = 0, angle: float = 104.5, length: float = 0.96, seed: int = 0) -> TrajectoryFrame:
-        return TrajectoryFrame(manipulate.fill_hydroxide(self, snapshot, angle, length, seed), self.frames.where(F.col("snapshot") == snapshot))
+        return self._with_atoms(manipulate.fill_hydroxide(self, snapshot, angle, length, seed), snapshot)
 
     def write(self, path: str, format: str = "lammpstrj", **options) -> None:
         """format: lammpstrj, lammps_data (option snapshot), XDATCAR or parquet."""

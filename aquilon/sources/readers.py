@@ -71,11 +71,12 @@ def dump_frames(b: DataFrame) -> DataFrame:
     )
 
 
-def dump_atoms(b: DataFrame) -> DataFrame:
-    """Atom rows of dump blocks as written, with is_scaled by the header."""
+def dump_atoms(b: DataFrame, *more: Column) -> DataFrame:
+    """Atom rows of dump blocks as written, with is_scaled by the header, and `more` columns made from a block."""
     n = F.trim(F.col("lines")[2]).cast("int")
-    rows = b.select("trajectory_id", "snapshot", F.col("lines")[7].alias("header"), F.posexplode(F.slice("lines", F.lit(9), n)).alias("ord", "line")).withColumn("t", _tokens(F.col("line")))
-    return rows.select(*FRAME, "ord", F.col("t")[0].cast("double").cast("long").alias("atom_id"), F.col("t")[1].cast("double").cast("int").alias("atom_type"), *(F.col("t")[2 + i].cast("double").alias(k) for k, i in _EDGES), F.col("header").rlike(r"\bxs\b").alias("is_scaled"))
+    names = b.select(*more).columns if more else []
+    rows = b.select("trajectory_id", "snapshot", *more, F.col("lines")[7].alias("header"), F.posexplode(F.slice("lines", F.lit(9), n)).alias("ord", "line")).withColumn("t", _tokens(F.col("line")))
+    return rows.select(*FRAME, "ord", F.col("t")[0].cast("double").cast("long").alias("atom_id"), F.col("t")[1].cast("double").cast("int").alias("atom_type"), *(F.col("t")[2 + i].cast("double").alias(k) for k, i in _EDGES), F.col("header").rlike(r"\bxs\b").alias("is_scaled"), *names)
 
 
 def read_dump(spark: SparkSession, path, coords: str | None = None, snapshot: int | None = None, file_name: str | None = None, target: str | None = None) -> tuple[DataFrame, DataFrame]:

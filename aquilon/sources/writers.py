@@ -18,6 +18,11 @@ def _write(lines: DataFrame, path: str, single: bool, by: str | None = None) ->
     out.select("value").write.mode("overwrite").text(path)
 
 
+def write_lines(lines: DataFrame, path: str, by: str) -> None:
+    """Any lines (trajectory_id, snapshot, seq, value), one folder for each value of a column: no task holds more than one of them needs."""
+    _write(lines, path, False, by)
+
+
 def _lines(frames: DataFrame, texts: list) -> DataFrame:
     return frames.select(*FRAME, F.posexplode(F.array(*texts)).alias("k", "value")).select(*FRAME, (F.col("k") - 1000).cast("long").alias("seq"), "value")
 
@@ -50,33 +55,39 @@ def write_data_files(atoms: DataFrame, frames: DataFrame, path: str, snapshots:
     _write(data_lines(atoms.where(at), frames.where(at)), path, False, by="snapshot")
 
 
-def dump_lines(atoms: DataFrame, frames: DataFrame, timestep: int | None = None, floats: bool = True) -> DataFrame:
-    """A dump's lines for each frame, atoms by ord. TIMESTEP is the frame's own, or snapshot * timestep. The number of atoms is
+def dump_lines(atoms: DataFrame, frames: DataFrame, timestep: int | None = None, floats: bool = True, scaled: bool = True, oxygens_first: bool = False) -> DataFrame:
+    """A dump's lines for each frame, atoms by ord, or oxygens before hydrogens; scaled coordinates or length units. TIMESTEP is the frame's own, or snapshot * timestep. The number of atoms is
     that of the rows. floats: ids and types as 1.0."""
     n = atoms.groupBy(*FRAME).agg(F.count("*").alias("n"))
     f = frames.join(n, FRAME)
     step = F.col("timestep") if timestep is None else F.col("snapshot") * timestep
     # The layout of the header.
     text = [F.lit("ITEM: TIMESTEP"), step.cast("string"), F.lit("ITEM: NUMBER OF ATOMS"), F.col("n").cast("string"), F.lit("ITEM: BOX BOUNDS pp pp pp"),
-            *(F.concat_ws(" ", f"{k}lo", f"{k}hi") for k in "xyz"), F.lit("ITEM: ATOMS id type xs ys zs")]
+            *(F.concat_ws(" ", f"{k}lo", f"{k}hi") for k in "xyz"), F.lit("ITEM: ATOMS id type xs ys zs" if scaled else "ITEM: ATOMS id type x y z")]
     kind = "double" if floats else "long"
+    if not scaled:
+        box = frames.select(*FRAME, *(F.col(c).alias(f"_{c}") for k in "xyz" for c in (f"{k}lo", f"l{k}")))
+        atoms = atoms.join(box, FRAME).withColumns({k: F.col(k) * F.col(f"_l{k}") + F.col(f"_{k}lo") for k in "xyz"})
+    if oxygens_first:
+        atoms = atoms.withColumn("ord", F.row_number().over(Window.partitionBy(*FRAME).orderBy(F.col("atom_type").desc(), "ord")))
     body = atoms.select(*FRAME, F.col("ord").cast("long").alias("seq"), F.concat_ws(" ", F.col("atom_id").cast(kind), F.col("atom_type").cast(kind), "x", "y", "z").alias("value"))
     return _lines(f, text).unionByName(body)
 
 
-def write_dump(atoms: DataFrame, frames: DataFrame, path: str, timestep: int | None = None, single: bool = True) -> None:
-    _write(dump_lines(atoms, frames, timestep), path, single)
+def write_dump(atoms: DataFrame, frames: DataFrame, path: str, timestep: int | None = None, single: bool = True, by: str | None = None, scaled: bool = True, oxygens_first: bool = False) -> None:
+    """by: a folder for each value of a column (trajectory_id: a file a trajectory), else one file or, in order, several."""
+    _write(dump_lines(atoms, frames, timestep, scaled=scaled, oxygens_first=oxygens_first), path, single, by)
 
 
-def write_xdatcar(atoms: DataFrame, frames: DataFrame, path: str) -> None:
-    """Frames as XDATCAR, oxygens first, each with its header."""
+def write_xdatcar(atoms: DataFrame, frames: DataFrame, path: str, by: str | None = None) -> None:
+    """Frames as XDATCAR, oxygens first, each with its header; by: a folder for each value of a column."""
     c = atoms.groupBy(*FRAME).agg(F.count(F.when(F.col("atom_type") == OXYGEN, 1)).alias("no"), F.count(F.when(F.col("atom_type") == HYDROGEN, 1)).alias("nh"))
     f = frames.join(c, FRAME)
     row = lambda i: F.concat_ws("    ", *(F.format_string("%.6f", F.col(f"l{k}")) if j == i else F.lit("0.000000") for j, k in enumerate("xyz")))
     text = [F.lit("unknown system"), F.lit("           1"), row(0), row(1), row(2), F.lit("    O    H"), F.concat_ws("   ", "no", "nh"), F.concat(F.lit("Direct configuration=     "), (F.col("snapshot") + 1).cast("string"))]
     w = Window.partitionBy(*FRAME).orderBy(F.col("atom_type").desc(), "ord")
     body = atoms.withColumn("seq", F.row_number().over(w).cast("long")).select(*FRAME, "seq", F.concat_ws(" ", "x", "y", "z").alias("value"))
-    _write(_lines(f, text).unionByName(body), path, True)
+    _write(_lines(f, text).unionByName(body), path, not by, by)
 
 
 def write_cache(atoms: DataFrame, frames: DataFrame, path: str) -> None:

@@ -27,9 +27,12 @@ def tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(atoms, frames) of rows from dump_stream(), on a stream or a micro-batch. All lines of a frame stand in one row, so this needs
     no state and no shuffle."""
     frames = dump_frames(blocks)
-    box = blocks.select("*", *(F.split(F.trim(F.col("lines")[4 + i]), r"\s+").alias(f"b{k}") for i, k in enumerate("xyz")))
-    atoms = dump_atoms(box)
-    return atoms.select(*(c for c in atoms.columns if c not in "xyz"), *(wrap_once(F.col(k)).alias(k) for k in "xyz")).drop("is_scaled"), frames
+    edge = lambda i, j: F.split(F.trim(F.col("lines")[4 + i]), r"\s+")[j].cast("double")
+    atoms = dump_atoms(blocks, *(edge(i, j).alias(f"{k}{'lo' if j == 0 else 'hi'}") for i, k in enumerate("xyz") for j in (0, 1)))
+    for k in "xyz":  # as the batch reader does it, with the box in the row
+        v = F.when(F.col("is_scaled"), F.col(k)).otherwise((F.col(k) - F.col(f"{k}lo")) / F.abs(F.col(f"{k}hi") - F.col(f"{k}lo")))
+        atoms = atoms.withColumn(k, wrap_once(v))
+    return atoms.select("trajectory_id", "snapshot", "ord", "atom_id", "atom_type", "x", "y", "z"), frames
 
 
 def each_batch(blocks: DataFrame, use: Callable[[TrajectoryFrame, int], None]) -> DataStreamWriter:

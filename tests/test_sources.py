@@ -124,3 +124,25 @@ def test_dump_text(spark, sf):
     lines = [r.value for r in writers.dump_lines(t.atoms.where("trajectory_id = 0 AND snapshot = 2"), t.frames.where("trajectory_id = 0 AND snapshot = 2"), 5000).orderBy("seq").collect()]
     assert lines[:5] == ["ITEM: TIMESTEP", "10000", "ITEM: NUMBER OF ATOMS", "81", "ITEM: BOX BOUNDS pp pp pp"] and lines[5] == "0.0 9.3"
     assert lines[8] == "ITEM: ATOMS id type xs ys zs" and lines[9].startswith("1.0 1.0 ") and len(lines) == 90
+
+
+def test_stream_reads_cartesian_dumps_like_the_batch_reader(spark, tmp_path):
+    from aquilon.sources.readers import read_dump
+    from aquilon.streaming import frames as S
+
+    box = "ITEM: BOX BOUNDS pp pp pp\n1 11\n0 10\n-5 5\n"
+    (tmp_path / "a.dump").write_text("".join(f"ITEM: TIMESTEP\n{k}\nITEM: NUMBER OF ATOMS\n2\n{box}ITEM: ATOMS id type x y z\n1 2 6 2 {k}\n2 1 1.5 9.5 -4\n" for k in range(3)))
+    q = S.tables(S.dump_stream(spark, str(tmp_path)))[0].writeStream.format("memory").queryName("cartesian").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    pick = lambda df: sorted((r.snapshot, r.ord, r.atom_id, r.atom_type, r.x, r.y, r.z) for r in df.collect())
+    got = pick(spark.table("cartesian"))
+    assert got == pick(read_dump(spark, str(tmp_path / "a.dump"))[0]) and got[0][4:] == (0.5, 0.2, 0.5)
+
+
+def test_atoms_are_counted_anew(spark, sf):
+    from aquilon.plans.queries import trajectory
+
+    t = trajectory(spark, sf)
+    assert {r.n_atoms for r in t.remove_molecules(5, 9).frames.collect()} == {66}
+    assert {r.n_atoms for r in t.fill_hydroxide(2).frames.collect()} == {82}
