@@ -83,6 +83,6 @@ def all_distances(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
 
 def ball_counts(a: DataFrame, b: DataFrame, radii: list[float]) -> DataFrame:
     """How many b stand within each radius of any a of the frame (pairs, self left out)."""
-    p = frame_pairs(a, b).where("d2 > 0").select(*FRAME, F.sqrt("d2").alias("d")).where(F.col("d") <= max(radii))
+    p = within(a, b, float(max(radii))).where("d2 > 0").select(*FRAME, F.sqrt("d2").alias("d"))
     r = F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(float(x)).alias("r")) for i, x in enumerate(radii)]))
     return p.select(*FRAME, "d", r.alias("k")).where(F.col("d") <= F.col("k.r")).groupBy(*FRAME, F.col("k.bin").alias("bin"), F.col("k.r").alias("r")).agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import sphere_volume
 from ..schema import FRAME
-from .neighbours import frame_pairs
+from .neighbours import frame_pairs, within
 
 TYPES = ("OO", "HH", "OH", "OH_ion", "H3O_ion")
 
@@ -40,9 +40,12 @@ def rdf(t, gr_type: str = "OO", n_bins: int = 50, start: float = 0.01, stop: flo
     sizes = sizes.select(*FRAME, "stop", (F.col("lx") * F.col("ly") * F.col("lz")).alias("volume"), F.col("n_h" if gr_type == "HH" else "n_o").alias("n_a"), F.col("n_h" if gr_type in ("HH", "OH") else "n_o").alias("n_b"))
     # the box travels with each row, so a pair finds its bin without a join
     e = F.lit(float(stop)) if stop is not None else F.least("lx", "ly", "lz") / 2
-    d = frame_pairs(a, b).select(*FRAME, F.sqrt("d2").alias("d"), e.alias("stop")).where((F.col("d") >= start) & (F.col("d") <= F.col("stop")))
+    p = frame_pairs(a, b) if stop is None else within(a, b, float(stop))
+    once = gr_type in ("OO", "HH") and start > 0  # a pair and its mirror image are alike, and no atom pairs with itself
+    p = p.where("a_idx < b_idx") if once else p
+    d = p.select(*FRAME, F.sqrt("d2").alias("d"), e.alias("stop")).where((F.col("d") >= start) & (F.col("d") <= F.col("stop")))
     step = (F.col("stop") - start) / (n_bins - 1)
-    hits = d.select(*FRAME, F.least(F.floor((F.col("d") - start) / step), F.lit(n_bins - 2)).cast("int").alias("bin")).groupBy(*FRAME, "bin").agg(F.count("*").alias("n"))
+    hits = d.select(*FRAME, F.least(F.floor((F.col("d") - start) / step), F.lit(n_bins - 2)).cast("int").alias("bin")).groupBy(*FRAME, "bin").agg((F.count("*") * (2 if once else 1)).alias("n"))
     # pairs first, then the bins of a frame as an array: empty bins come from the frame, not from a join of all bins
     per = hits.groupBy(*FRAME).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("hits"))
     full = sizes.join(per, FRAME, "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 2))).alias("bin"))
