@@ -115,9 +115,13 @@ _PATH = T.ArrayType(T.IntegerType())
 _BONDS = T.ArrayType(T.StructType([T.StructField("src_o", T.IntegerType()), T.StructField("dst_o", T.IntegerType())]))
 
 
-@F.pandas_udf(_PATH)
-def _reached(src: pd.Series, dst: pd.Series, root: pd.Series) -> pd.Series:
-    return pd.Series([reached(*x) for x in zip(src, dst, root)])
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _from_reached(src: pd.Series, dst: pd.Series, root: pd.Series) -> pd.Series:
+    out = []
+    for s, d, r in zip(src, dst, root):
+        seen = set(reached(s, d, r))
+        out.append([u in seen for u in s])
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(_PATH)
@@ -139,9 +143,14 @@ def _frames(e: DataFrame, roots: DataFrame) -> DataFrame:
 def network(e: DataFrame, ions: DataFrame, root: str) -> DataFrame:
     """The bonds that a search from an ion (oh or h3o) meets: those whose donor it reaches. As a set this does not depend on
     the order of the search."""
-    f = _frames(e, ions.select(*FRAME, F.col(root).alias("root"))).where("root IS NOT NULL AND size(e) > 0")
-    r = f.select(*FRAME, F.explode(_reached(F.col("e.src_o"), F.col("e.dst_o"), F.col("root"))).alias("src_o"))
-    return e.join(r, [*FRAME, "src_o"]).select(*FRAME, F.lit(root).alias("root_kind"), "src_o", "dst_o")
+    return _nets(e, ions, root).select(*FRAME, F.lit(root).alias("root_kind"), F.inline("net"))
+
+
+def _nets(e: DataFrame, ions: DataFrame, root: str) -> DataFrame:
+    """A row for each frame with the ion `root`: its network's bonds as an array. The frame's bonds are read once."""
+    f = _frames(e, ions.select(*FRAME, F.col(root).alias("root")).where("root IS NOT NULL"))
+    f = f.withColumn("on", _from_reached(F.col("e.src_o"), F.col("e.dst_o"), F.col("root")))
+    return f.select(*FRAME, "root", F.filter("e", lambda _, i: F.col("on")[i]).alias("net"))
 
 
 def search_order(e: DataFrame, ions: DataFrame, root: str) -> DataFrame:
@@ -221,11 +230,11 @@ def length_histogram(w: DataFrame, bins: int = 10, start: int | None = None, sto
 def transition_ions(e: DataFrame, ions: DataFrame, mol: DataFrame, root: str = "h3o") -> DataFrame:
     """The bonded surroundings of an ion: for each frame with the ion the oxygens of its mirror-free bonds within its network,
     or the ion alone where the network has no bond; with the molecule of each (n_h, h_list)."""
-    net = network(e, ions, root)
-    pair = mirror_free(net).join(ions.select(*FRAME, F.col(root).alias("ion")), FRAME)
-    touch = pair.where("a_o = ion OR b_o = ion").select(*FRAME, "ion", F.explode(F.array("a_o", "b_o")).alias("o_idx"))
-    alone = ions.where(F.col(root).isNotNull()).join(net.select(*FRAME).distinct(), FRAME, "left_anti").select(*FRAME, F.col(root).alias("ion"), F.col(root).alias("o_idx"))
-    return touch.union(alone).distinct().join(mol.select(*FRAME, "o_idx", "n_h", "h_list"), [*FRAME, "o_idx"]).select(*FRAME, "ion", "o_idx", "n_h", "h_list")
+    n = _nets(e, ions, root).withColumnRenamed("root", "ion")
+    touch = F.filter("net", lambda b: (b["src_o"] == F.col("ion")) | (b["dst_o"] == F.col("ion")))
+    ends = F.flatten(F.transform(touch, lambda b: F.array(b["src_o"], b["dst_o"])))
+    near = F.when(F.size("net") == 0, F.array("ion")).otherwise(F.array_distinct(ends))
+    return n.select(*FRAME, "ion", F.explode(near).alias("o_idx")).join(mol.select(*FRAME, "o_idx", "n_h", "h_list"), [*FRAME, "o_idx"]).select(*FRAME, "ion", "o_idx", "n_h", "h_list")
 
 
 def bond_ratio(net: DataFrame, frames: DataFrame) -> DataFrame:
