@@ -40,26 +40,31 @@ def _bits(n: int) -> int:
     return max(0, min(20, round(math.log2(max(n, 1) / 16))))
 
 
+def _vectors(col) -> tuple[np.ndarray, np.ndarray]:
+    """The components of all vectors in a row, and n+1 offsets."""
+    at = np.asarray(col.offsets).astype(np.int64)
+    return np.asarray(col.flatten()), at - at[0]
+
+
 def _project(batches, threshold: float, recall: float):
     for batch in batches:
-        c = batch.to_pydict()
+        values, at = _vectors(batch["embedding"])
+        label, cls = np.asarray(batch["label"]), np.asarray(batch["cls"])
+        kinds = np.stack([np.diff(at), np.array([_bits(n) for n in batch["n_label"].to_pylist()], np.int64)], 1)
         out = []
-        groups: dict[tuple, list[int]] = {}
-        for i, (v, n) in enumerate(zip(c["embedding"], c["n_label"])):
-            groups.setdefault((len(v), _bits(n)), []).append(i)
-        for (size, bits), rows in groups.items():
+        for size, bits in np.unique(kinds, axis=0).tolist():
+            rows = np.flatnonzero((kinds == (size, bits)).all(1))
             m, _ = calibrate(threshold, bits, recall)
-            x = np.array([c["embedding"][i] for i in rows], float)
+            x = values[at[rows][:, None] + np.arange(size)].astype(float)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             lines, signs = _directions(size, m, bits)
             z = x @ lines.T
             cell = np.zeros(z.shape, np.int64)
             for b in range(bits):
                 cell = cell * 2 + (x @ signs[:, b].T > 0)
-            r = np.array(rows)
             out.append([
-                np.repeat(np.array(c["label"])[r], m), np.full(z.size, size), np.full(z.size, bits), np.tile(np.arange(m), len(rows)),
-                cell.ravel(), z.ravel(), np.repeat(np.array(c["cls"])[r], m),
+                np.repeat(label[rows], m), np.full(z.size, size), np.full(z.size, bits), np.tile(np.arange(m), rows.size),
+                cell.ravel(), z.ravel(), np.repeat(cls[rows], m),
             ])
         if out:
             cols = [np.concatenate(x) for x in zip(*out)]
@@ -71,12 +76,14 @@ def _collide(batches, half: float, chunk: int = 1 << 18):
     the window's vectors are held. Pairs are counted here as far as they meet again in this task's buffer."""
     names = ("label", "size", "k", "t", "bits")
     cell, z, ids = None, np.zeros(0), np.zeros(0, np.int64)
-    ready: list[np.ndarray] = []
+    ready: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush():
-        pairs, n = np.unique(np.concatenate(ready), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32)), pa.array(n, pa.int64())], ["a", "b", "k", "n"])
+        a, b, k = (np.concatenate(x) for x in zip(*ready))
+        names, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+        pair, first, n = np.unique(code[: a.size] * names.size + code[a.size :], return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names[pair // names.size]), pa.array(names[pair % names.size]), pa.array(k[first]), pa.array(n, pa.int64())], ["a", "b", "k", "n"])
 
     for batch in batches:
         keys = np.stack([np.asarray(batch[n]) for n in names], 1)
@@ -99,7 +106,7 @@ def _collide(batches, half: float, chunk: int = 1 << 18):
                 right = np.repeat(np.arange(old + at, old + end), m)
                 left = np.repeat(first[at:end] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(int(m.sum()))
                 a, b = ids[left], ids[right]
-                ready.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(a.size, now[2])], 1))
+                ready.append((np.minimum(a, b), np.maximum(a, b), np.full(a.size, now[2], np.int32)))
                 size += a.size
                 if size >= 4 * chunk:
                     yield flush()
@@ -110,13 +117,21 @@ def _collide(batches, half: float, chunk: int = 1 << 18):
         yield flush()
 
 
-def _verify(batches, threshold: float):
+def _verify(batches, threshold: float, block: int = 1 << 20):
+    """Pairs of vectors of one length each, compared in double precision, about `block` components at once."""
     for batch in batches:
-        x, y = (np.array(batch[c].to_pylist(), object) for c in ("x", "y"))
-        keep = np.zeros(len(batch), bool)
-        for i, (u, v) in enumerate(zip(x, y)):
-            u, v = np.asarray(u, float), np.asarray(v, float)
-            keep[i] = cosine(u, v) >= threshold
+        (x, at), (y, _) = _vectors(batch["x"]), _vectors(batch["y"])
+        size = np.diff(at)
+        keep = np.zeros(size.size, bool)
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            step = max(1, block // n)
+            for lo in range(0, rows.size, step):
+                r = rows[lo : lo + step]
+                i = at[r][:, None] + np.arange(n)
+                u, v = x[i].astype(float), y[i].astype(float)
+                dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+                keep[r] = dot(u, v) / (np.sqrt(dot(u, u)) * np.sqrt(dot(v, v))) >= threshold
         yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep)), batch["b"].filter(pa.array(keep))], ["a", "b"])
 
 
