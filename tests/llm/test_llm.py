@@ -85,7 +85,26 @@ def test_calibration():
     for bits in (0, 5, 12):
         m, need = embedding_dedup.calibrate(0.93, bits, 0.999)
         assert 3 <= need <= m
-    assert embedding_dedup.near_duplicates.__doc__
+
+
+def test_links_are_found_at_several_sizes(spark):
+    """Recall against all pairs about the threshold, with 1, 5 and 7 sign cells before a line; an empty table."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for label, size in enumerate((40, 400, 1500)):
+        x = np.repeat(rng.standard_normal((size // 4, 16)), 4, 0)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) + rng.standard_normal(x.shape) * 0.065
+        x = x.astype(np.float32).astype(float)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        links = (unit @ unit.T >= 0.93).sum(1) - 1
+        for v, n in zip(x.tolist(), links.tolist()):
+            want[len(rows)] = n
+            rows.append((len(rows), v, label))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(want.values()) > 1000 and all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+    assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
 # ---------------------------------------------------------------- 2
@@ -321,10 +340,56 @@ def test_language_of_many_scripts():
     assert len({m.encode(c).tobytes() for c in set("".join(samples.values()).replace(" ", ""))}) == len(set("".join(samples.values())) - {" "})
 
 
+def test_language_by_plain_parsing(spark, sf):
+    """The same answers from substring search in the samples."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 1500")
+    plain = lambda t: " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + " " * (not t[-1].isalpha())
+    samples = {k: plain(t) for k, t in language_id.training_sample(d).items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(d).collect()}
+    tried = [(r.doc_id, plain(r.text)) for r in d.orderBy("doc_id").limit(40).collect() if any(c.isalpha() for c in r.text or "")]
+    assert len(tried) > 20 and len(samples) > 1
+    for i, t in tried:
+        cost = {}
+        for lang, sample in samples.items():
+            n = 0
+            for at in range(0, len(t), language_id.SEGMENT):
+                n, cur = n + 1, ""
+                for c in t[at : at + language_id.SEGMENT]:
+                    if cur + c in sample:
+                        cur += c
+                    else:
+                        n, cur = n + 1, c if c in sample else ""
+            cost[lang] = n * np.log2(len(sample) + 2)
+        best, second = sorted(cost.items(), key=lambda x: (x[1], x[0]))[:2]
+        assert got[i][0] == best[0] and abs(got[i][1] - (1 - best[1] / second[1])) < 1e-9
+
+
+def test_quality_by_plain_densities(spark, sf):
+    """The same scores from covariances and densities as textbooks write them."""
+    sf = sf.replace("sf0.001", "sf0.01")  # the least table has too few labels of a class
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: np.array(quality.features(r.text)) for r in d.select("doc_id", "text").collect()}
+    learned = [(texts[r.doc_id], r.quality) for r in lab.collect() if r.doc_id in texts and r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x = {k: np.array([f for f, q in learned if q == k]) for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in x.items()}
+    pooled = sum(len(x[k]) * cov[k] for k in x) / len(learned)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9))
+    log = {}
+    for k in x:
+        c = (0.9 * cov[k] + 0.1 * pooled) / np.outer(scale, scale)
+        c = 0.99 * c + 0.01 * (np.trace(c) / len(c) + 1e-6) * np.eye(len(c))
+        far = {i: (f - x[k].mean(0)) / scale for i, f in texts.items()}
+        log[k] = {i: np.log(len(x[k]) / len(learned)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * f @ np.linalg.solve(c, f) for i, f in far.items()}
+    for r in quality.score(d, lab).collect():
+        want = 1 / (1 + np.exp(np.clip(log[0][r.doc_id] - log[1][r.doc_id], -700, 700)))
+        assert abs(r.score - want) < 1e-5
+
+
 def test_quality(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = quality.score(d, lab).join(lab, "doc_id").where("held_out").collect()
-    assert np.mean([r.quality == r.predicted for r in got]) >= 0.9 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert len({r.score for r in got}) > 10 and np.mean([r.quality == r.predicted for r in got]) >= 0.9 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     odd = docs(spark, ODD).withColumn("f", F.lit("clash"))
     rows = quality.score(odd, lab).collect()
     assert len(rows) == len(ODD)
@@ -510,7 +575,7 @@ def test_pipeline_stages(spark, sf):
             assert out.join(lab.where("quality = 1"), "doc_id").count() >= 0.97 * clean
         elif name == "ngram_jaccard_join":
             rows = [tuple(r) for r in d.select("doc_id", "text").collect()]
-            want = ngram_join.brute_force(rows)
+            want = ngram_join.brute_force(rows, 5, 80, 100)
             assert {r.doc_id for r in out.collect()} == {i for i, (_, c) in want.items() if c == i}
         elif name == "benchmark_decontamination":
             assert not decontaminate.report(out, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").count()
