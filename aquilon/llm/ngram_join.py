@@ -26,6 +26,7 @@ GROUPS = 256  # counts of one byte; with fewer, the bound says nothing of sets o
 LEAF = 32
 FAN = 16
 FULL = 255
+OFFSETS = 4  # a text of a cluster of several blocks goes to so many pairs of blocks, twice, at a time
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -580,6 +581,69 @@ def _verify(batches, size: int, th: Threshold, limit: int):
         yield _found([np.sort(x, axis=1) for x in out])
 
 
+def _elsewhere_keys(batches, parts: int, size: int, limit: int, flush_at: int = 500_000):
+    """The shingles of texts (cls, cluster, label) for the part of each, as keys that differ between clusters."""
+    held, n_held = [], 0
+
+    def flush():
+        key, cls, label = (np.concatenate(x) for x in zip(*held))
+        part = (key % U(parts)).astype(np.int64)
+        order = np.lexsort((cls, part))
+        key, cls, label, part = key[order], cls[order], label[order], part[order]
+        rows = []
+        for at in np.split(np.arange(key.size), np.flatnonzero(np.diff(part)) + 1):
+            first = np.flatnonzero(np.concatenate(([True], np.diff(cls[at]) != 0)))
+            n = np.diff(np.append(first, at.size))
+            rows.append((3, int(part[at[0]]), np.int64(n.size).tobytes() + pack(cls[at[first]], label[at[first]], n) + key[at].tobytes()))
+        return _rows(rows)
+
+    for batch in batches:
+        cls, cluster, label = (np.asarray(batch[k]) for k in ("cls", "cluster", "label"))
+        buf, offs = text_buffers(batch["text"])
+        for i, j in row_blocks(offs, limit):
+            h, d = shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
+            if h.size:
+                held.append((mix(h ^ mix(cluster[i:j].view(U))[d]), cls[i:j][d], label[i:j][d]))
+                n_held += h.size
+            if n_held >= flush_at:
+                yield flush()
+                held, n_held = [], 0
+    if held:
+        yield flush()
+
+
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """One part: how many of its shingles each set shares with sets of another label."""
+    keys, sets, labels = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in table["blob"].to_pylist():
+        m = int(np.frombuffer(b, np.int64, 1)[0])
+        cls, label, n = unpack(b[8 : 8 + 24 * m], np.int64, np.int64, np.int64)
+        sets.append(np.repeat(cls, n))
+        labels.append(np.repeat(label, n))
+        keys.append(np.frombuffer(b, U, -1, 8 + 24 * m))
+    key, cls, label = np.concatenate(keys), np.concatenate(sets), np.concatenate(labels)
+    order = np.lexsort((cls, label, key))
+    key, cls, label = key[order], cls[order], label[order]
+    new = np.ones(key.size, bool)  # repeated rows of a set count once
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    key, cls, label = key[new], cls[new], label[new]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if key.size else np.zeros(0, np.int64)
+    n = np.diff(np.append(at, key.size))
+    mixed = label[at] != label[at + n - 1]
+    names, count = np.unique(cls[np.repeat(mixed, n)], return_counts=True)
+    trim()
+    return pa.table({"cls": pa.array(names, pa.int64()), "shared": pa.array(count, pa.int64())})
+
+
+def block_pairs(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """rows (cls, cluster, blocks, block, ...) once for each pair (x, y) of their block with one that is low to high - 1 further on, or
+    back, in the ring of their cluster's blocks. Offsets from 1 to blocks // 2 give every pair once."""
+    steps = F.filter(F.sequence(F.lit(low), F.lit(high - 1)), lambda k: 2 * k <= F.col("blocks"))
+    both = F.array_distinct(F.flatten(F.transform(steps, lambda k: F.array(F.pmod(F.col("block") + k, "blocks"), F.pmod(F.col("block") - k, "blocks")))))
+    rows = rows.withColumn("o", F.explode(both))
+    return rows.select("*", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), F.col("block").alias("side"))
+
+
 def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_bytes: int, heavy_least: int, heavy_share: int, dense: int, list_max: int, cluster_shingles: int) -> DataFrame:
     """doc_id, tk (hash of the text), n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
@@ -603,15 +667,14 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     release(spark)
 
     # a cluster's sets meet in blocks; a few sets of a cluster of several blocks go to all of them
+    blocks = F.greatest(F.ceil(F.sum("n") / cluster_shingles), F.ceil(F.count("*") / list_max)).cast("int").alias("blocks")
     of = near.select(F.col("id").alias("cls"), F.col("component").alias("cluster")).join(classes.select("cls", "one", "n"), "cls")
-    blocks = F.greatest(F.ceil(F.sum("n") / cluster_shingles), F.ceil(F.count("*") / list_max)).cast("int")
-    big = saved(of.groupBy("cluster").agg(blocks.alias("blocks"), F.count("*").alias("sets")).where("blocks > 1"))
-    of = of.join(big, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    of = saved(of.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("pilot", F.expr("blocks > 1 AND pmod(xxhash64(cls, 7), sets) < 16")))
+    big = saved(of.groupBy("cluster").agg(blocks).where("blocks > 1"))
+    of = saved(of.join(big, "cluster", "left").withColumn("large", F.col("blocks").isNotNull()).drop("blocks"))
 
     # the texts come by (doc_id, hash), so that neither null nor repeated ids matter; members follow the corpus, so they are never broadcast
     texts = of.hint("merge").join(d.withColumnRenamed("tk", "d_tk"), F.expr("one.tk <=> d_tk AND one.doc_id <=> doc_id"))
-    texts = saved(texts.select("cls", "cluster", "blocks", "block", "pilot", "text"))
+    texts = saved(texts.select("cls", "cluster", "n", "large", "text"), "large")
     release(spark)
 
     def links(rows: DataFrame) -> DataFrame:
@@ -619,17 +682,42 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
         rows = rows.select("cluster", "x", "y", "cls", "side", "label", "text").repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "cls")
         return saved(rows.mapInArrow(lambda it: lean(_verify(it, size, th, block_bytes)), "a long, b long"))
 
-    every_block = F.sequence(F.lit(0), F.col("blocks") - 1)
-    at = F.when(F.col("pilot"), every_block).otherwise(F.array("block"))
-    found = links(texts.withColumn("x", F.explode(at)).select("*", F.lit(-1).alias("y"), F.lit(-1).alias("side"), F.col("cls").alias("label")))
-    comp = saved(components(spark, found))
-    if not big.isEmpty():  # pairs of blocks, in clusters that are not yet one component
-        label = of.where("blocks > 1").select("cls", "cluster").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
-        apart = label.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
-        label = label.join(apart, "cluster").select("cls", "label")
-        pairs = texts.where("blocks > 1").join(label, "cls").withColumn("o", F.explode(every_block)).where("o <> block")
-        more = links(pairs.select("*", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), F.col("block").alias("side")))
-        comp = saved(components(spark, found.union(more)))
+    def open_sets(rows: DataFrame) -> DataFrame:
+        """cls, cluster, n, label of the rows (cls, cluster, n, label, text) that can link to a set with another label in their cluster: so
+        many of a set's shingles as a link needs stand in such sets. It takes each text once, however many blocks there are."""
+        dealt = rows.select("cls", "cluster", "label", "text").mapInArrow(lambda it: lean(_elsewhere_keys(it, parts, size, block_bytes)), _OUT_DDL)
+        shared = dealt.select("part", "blob").groupBy("part").applyInArrow(_elsewhere, "cls long, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+        return saved(rows.select("cls", "cluster", "n", "label").distinct().join(shared, "cls").where(f"shared * {den} >= n * {num}").drop("shared"))
+
+    def alone(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.lit(-1).alias("y"), F.lit(-1).alias("side"), F.col("cls").alias("label"))
+
+    small = alone(texts.where("NOT large").withColumn("x", F.lit(0)))
+    if big.isEmpty():
+        comp = saved(components(spark, links(small)))
+    else:
+        kept = open_sets(texts.where("large").withColumn("label", F.col("cls")))
+        release(spark)
+        kept = kept.join(kept.groupBy("cluster").agg(blocks, F.count("*").alias("sets")), "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+        kept = saved(kept.select("cls", "blocks", "block", F.expr("blocks > 1 AND pmod(xxhash64(cls, 7), sets) < 16").alias("pilot")))
+        at = F.when(F.col("pilot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+        large = texts.where("large").join(kept, "cls")
+        found = links(small.unionByName(alone(large.withColumn("x", F.explode(at)).select(*small.columns[:-3]))))
+        comp = saved(components(spark, found))
+        release(spark)
+
+        # pairs of blocks, in clusters that are not yet one component: a few at a time, as each text goes to all blocks in the end
+        several = large.where("blocks > 1")
+        most = kept.agg(F.max("blocks")).first()[0] or 1
+        for low in range(1, most // 2 + 1, OFFSETS):
+            label = several.join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+            still = open_sets(label).select("cls", "label")
+            if still.isEmpty():
+                break
+            release(spark)
+            found = found.union(links(block_pairs(several.join(still, "cls"), low, low + OFFSETS)))
+            comp = saved(components(spark, found))
+            release(spark)
     release(spark)
 
     named = classes.select("cls", "least").join(comp.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, the libraries they stand for, and odd input."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from aquilon.llm import common, decontaminate, embedding_dedup, language_id, ngram_join, packing, quality, queries, substring_dedup, suffix_dedup, token_counts, url_filter
@@ -534,6 +536,42 @@ def test_jaccard_is_alike_however_split(spark, how):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == ngram_join.brute_force(rows, 5, 80, 100)
 
 
+@pytest.mark.parametrize("shared", [True, False])
+def test_blocks_of_a_cluster_send_texts_a_few_times(spark, tmp_path, monkeypatch, shared):
+    """A cluster of 22 blocks whose sets are not linked, with or without shingles of their own: no round sends a text to all pairs of blocks."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, line = [[word() for _ in range(40)] for _ in range(8)], [word() for _ in range(20)]
+    texts = [[w for k in c for w in passage[k]] if shared else line + [word() for _ in range(100)] for c in itertools.combinations(range(8), 3)]
+    texts += [[*t[:90], "new", *t[91:]] for t in texts[::9]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    verify, folder = ngram_join._verify, str(tmp_path)
+
+    def counted(batches, *rest):
+        def through():
+            for b in batches:
+                with open(f"{folder}/{TaskContext.get().stageId()}", "a") as f:
+                    f.write("x" * b.num_rows)
+                yield b
+
+        return verify(through(), *rest)
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    got = ngram_join.jaccard_components(docs(spark, rows), 5, 80, 100, heavy_least=1000, dense=2, list_max=8, cluster_shingles=300).collect()
+    want = ngram_join.brute_force(rows, 5, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) == 56
+    sent = [f.stat().st_size for f in tmp_path.iterdir()]
+    assert max(sent) <= 2 * ngram_join.OFFSETS * len(rows) if shared else sum(sent) < 2 * len(rows)
+
+
+def test_pairs_of_blocks_meet_once(spark):
+    made = spark.createDataFrame([(n, b) for n in range(2, 12) for b in range(n)], "blocks int, block int")
+    met = Counter()
+    for low in range(1, 6, ngram_join.OFFSETS):
+        met.update((r.blocks, r.x, r.y, r.side) for r in ngram_join.block_pairs(made, low, low + ngram_join.OFFSETS).collect())
+    assert met == Counter((n, x, y, b) for n in range(2, 12) for x in range(n) for y in range(x + 1, n) for b in (x, y))
+
+
 def test_keep_one_judges_rows(spark):
     same, own = "one two three four five six seven", "a text of its own that nobody else has"
     rows = [(3, same), (7, same), (7, own), (7, own), (None, same), (None, own + " but null"), (9, None), (-(2**63), "least id of all there are")]
