@@ -29,9 +29,9 @@ def frame_pairs(a: DataFrame, b: DataFrame, mode: str = "pbc", extra_a=(), extra
 
 
 def cells(df: DataFrame, edge: float, halo: bool) -> DataFrame:
-    """Adds cell numbers cx, cy, cz for cells at least `edge` long (one cell on an axis shorter than three edges);
-    with halo a row for each of the up to 27 cells around."""
-    n = {k: F.when(F.floor(F.col(f"l{k}") / edge) >= 3, F.floor(F.col(f"l{k}") / edge)).otherwise(F.lit(1)) for k in "xyz"}
+    """Adds cell numbers cx, cy, cz for cells at least `edge` long; with halo a row for each of the up to 27 cells around. An axis
+    shorter than four edges has one cell: with three, the halo is all of them, for the same pairs from three times the rows."""
+    n = {k: F.when(F.floor(F.col(f"l{k}") / edge) >= 4, F.floor(F.col(f"l{k}") / edge)).otherwise(F.lit(1)) for k in "xyz"}
     for k in "xyz":
         own = F.least(F.greatest(F.floor((F.col(k) - F.floor(F.col(k))) * n[k]), F.lit(0)), n[k] - 1)
         if halo:
@@ -64,8 +64,10 @@ def nearest(h: DataFrame, o: DataFrame, mode: str = "pbc", cell: float | None =
         out = frame_pairs(h, o, mode).groupBy(*keys).agg(best)
     else:
         near = within(h, o, cell).groupBy(*keys).agg(best)
-        rest = h.join(near.select(*FRAME, F.col("a_idx").alias("idx")), [*FRAME, "idx"], "left_anti")
-        out = near.unionByName(frame_pairs(rest, o, mode).groupBy(*keys).agg(best))
+        all_h = h.select(*FRAME, *(F.col(k) for k in ("idx", "id", "x", "y", "z", "lx", "ly", "lz")))
+        found = all_h.join(near.withColumnsRenamed({"a_idx": "idx", "a_id": "id"}), [*FRAME, "idx", "id"], "left")  # one plan of near for both
+        rest = frame_pairs(found.where("m IS NULL").drop("m"), o, mode).groupBy(*keys).agg(best)
+        out = found.where("m IS NOT NULL").select(*FRAME, F.col("idx").alias("a_idx"), F.col("id").alias("a_id"), "m").unionByName(rest)
     return out.select(*FRAME, F.col("a_idx").alias("h_idx"), F.col("a_id").alias("h_id"), "m.o_idx", "m.o_id", F.sqrt("m.d2").alias("dist"))
 
 

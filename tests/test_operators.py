@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aquilon.operators import dynamics, hbonds, manipulate, plotdata, stats
+from aquilon.operators import dynamics, hbonds, manipulate, neighbours, plotdata, stats
 from aquilon.plans import queries as Q
 from aquilon.plans.trajectory import TrajectoryFrame
 from aquilon.schema import ATOMS, FRAMES
@@ -24,6 +24,17 @@ def t(spark, sf):
     return Q.trajectory(spark, sf)
 
 
+def test_three_cells_are_one(spark):
+    """Where the halo of a cell is the whole box, no atom is repeated; the nearest are found all the same, within the cell's edge or not."""
+    rng = np.random.default_rng(6)
+    p = rng.random((20, 3)) * [1, 1, 0.3]
+    t = make(spark, [(0, 0, i, i + 1, 2 if i in (0, 5, 10) else 1, *map(float, p[i])) for i in range(20)])
+    assert [neighbours.cells(t.h, edge, True).count() for edge in (3.3, 2.5)] == [17, 17 * 27]
+    want = {(r.h_idx, r.o_idx) for r in t.nearest_neighbour().collect()}
+    for cell in (3.3, 2.5, 1.0):
+        assert {(r.h_idx, r.o_idx) for r in t.nearest_neighbour(cell=cell).collect()} == want and len(want) == 17
+
+
 def test_nearest_by_brute_force(spark):
     rng = np.random.default_rng(5)
     p = rng.random((60, 3))
