@@ -132,6 +132,15 @@ def row_blocks(offs: np.ndarray, limit: int):
         i = j
 
 
+def text_slices(batches, limit: int = 1 << 20, column: str = "text"):
+    """The rows of the batches in slices with about `limit` bytes of text each, so that what Python makes of them stays small; a longer text is a
+    slice of its own."""
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch[column]).cast(pa.int64()), 0))
+        for i, j in row_blocks(np.append(0, np.cumsum(size)), limit):
+            yield batch.slice(i, j - i)
+
+
 def trim() -> None:
     """Gives memory that Python no longer uses back to the machine: workers live on, and other operators follow."""
     pa.default_memory_pool().release_unused()
@@ -239,14 +248,16 @@ def deal(part: np.ndarray, *arrays: np.ndarray):
 # ---------------------------------------------------------------- components
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, cut: bool = False) -> DataFrame:
     """(id, component): the smallest id that links reach, for every id in edges (a, b).
 
     Alternating large-star and small-star rounds over DataFrames: every round is a min per
     node (combined before the shuffle) and an equi-join; no neighbour list is ever collected.
-    Edges (a < b) are first cut to a spanning forest inside each partition.
+    Edges (a < b) are first cut to a spanning forest inside each partition; `cut` says that whoever made them did so in the
+    same Python task, which spares a second worker beside it.
     """
-    e = saved(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"))
+    e = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
+    e = saved(e if cut else e.mapInArrow(forest, "a long, b long"))
     before = None
     while True:
         low = e.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))  # only these have a smaller neighbour
@@ -265,7 +276,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return e.select(F.col("b").alias("id"), F.col("a").alias("component")).union(roots).distinct()
 
 
-def _forest(batches):
+def forest(batches):
     """Edges of a spanning forest of this partition's edges, flushed at a million nodes."""
     parent: dict[int, int] = {}
 

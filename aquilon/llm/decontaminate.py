@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, text_slices
+
 #: A-Z to a-z; every other ASCII byte that is no digit or a-z parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -158,10 +160,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_bytes:
 
         def keep(batches, held=held):
             m = _matcher(held, window)
-            for batch in batches:
+            for batch in text_slices(batches):
                 yield batch.filter(pa.array([not m.scan(t)[1] for t in batch["text"].to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(lambda it, keep=keep: lean(keep(it)), docs.schema)
     return docs
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, components, deal, discard, id_array, lean, mix, n_parts, pack, release, row_blocks, saved, text_buffers, trim, unpack, unpack_all
+from .common import U, Rolling, components, deal, discard, forest, id_array, lean, mix, n_parts, pack, release, row_blocks, saved, text_buffers, trim, unpack, unpack_all
 
 GROUPS = 256  # counts of one byte; with fewer, the bound says nothing of sets of a few thousand
 LEAF = 32
@@ -658,12 +658,12 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     release(spark)
     prof = met.where("kind = 0").select("blob").mapInArrow(_unprofile, "doc_id long, tk long, n long, cls long, vec binary")
     lists = saved(met.where("kind = 1").select("part", "blob").groupBy("part").applyInArrow(_lists, "list long, cls long"))
-    ties = met.where("kind = 2").select("blob").mapInArrow(_pairs, "a long, b long")
+    ties = met.where("kind = 2").select("blob").mapInArrow(lambda it: lean(forest(_pairs(it))), "a long, b long")
     one = F.min(F.struct("doc_id", "tk")).alias("one")
     classes = saved(prof.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), one, F.first("n").alias("n"), F.first("vec").alias("vec")))
 
     rows = lists.join(classes.select("cls", "n", "vec"), "cls").select("list", "cls", "n", "vec").repartition(parts, "list").sortWithinPartitions("list")
-    near = saved(components(spark, rows.mapInArrow(lambda it: lean(_search(it, th, list_max)), "a long, b long").union(ties)))
+    near = saved(components(spark, rows.mapInArrow(lambda it: lean(forest(_search(it, th, list_max))), "a long, b long").union(ties), cut=True))
     release(spark)
 
     # a cluster's sets meet in blocks; a few sets of a cluster of several blocks go to all of them
@@ -680,7 +680,7 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
     def links(rows: DataFrame) -> DataFrame:
         """rows: cls, cluster, x, y, side, label, text."""
         rows = rows.select("cluster", "x", "y", "cls", "side", "label", "text").repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "cls")
-        return saved(rows.mapInArrow(lambda it: lean(_verify(it, size, th, block_bytes)), "a long, b long"))
+        return rows.mapInArrow(lambda it: lean(forest(_verify(it, size, th, block_bytes))), "a long, b long")
 
     def open_sets(rows: DataFrame) -> DataFrame:
         """cls, cluster, n, label of the rows (cls, cluster, n, label, text) that can link to a set with another label in their cluster: so
@@ -694,7 +694,7 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
 
     small = alone(texts.where("NOT large").withColumn("x", F.lit(0)))
     if big.isEmpty():
-        comp = saved(components(spark, links(small)))
+        comp = saved(components(spark, links(small), cut=True))
     else:
         kept = open_sets(texts.where("large").withColumn("label", F.col("cls")))
         release(spark)
@@ -702,8 +702,8 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
         kept = saved(kept.select("cls", "blocks", "block", F.expr("blocks > 1 AND pmod(xxhash64(cls, 7), sets) < 16").alias("pilot")))
         at = F.when(F.col("pilot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
         large = texts.where("large").join(kept, "cls")
-        found = links(small.unionByName(alone(large.withColumn("x", F.explode(at)).select(*small.columns[:-3]))))
-        comp = saved(components(spark, found))
+        found = saved(links(small.unionByName(alone(large.withColumn("x", F.explode(at)).select(*small.columns[:-3])))))
+        comp = saved(components(spark, found, cut=True))
         release(spark)
 
         # pairs of blocks, in clusters that are not yet one component: a few at a time, as each text goes to all blocks in the end
@@ -715,8 +715,8 @@ def _rows_with_components(docs: DataFrame, size: int, num: int, den: int, block_
             if still.isEmpty():
                 break
             release(spark)
-            found = found.union(links(block_pairs(several.join(still, "cls"), low, low + OFFSETS)))
-            comp = saved(components(spark, found))
+            found = found.union(saved(links(block_pairs(several.join(still, "cls"), low, low + OFFSETS))))
+            comp = saved(components(spark, found, cut=True))
             release(spark)
     release(spark)
 

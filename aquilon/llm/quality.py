@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import lean, saved, text_slices
 
 # Classes of bytes.
 _UPPER = bytes(range(65, 91))
@@ -37,7 +37,7 @@ def features(text: str | None) -> list[float]:
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in text_slices(batches):
         rows = [np.array(features(t)).tobytes() for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "f"])
 
@@ -87,7 +87,7 @@ def _held_out():
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, f binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: lean(_features(it)), "doc_id long, f binary")
 
 
 def fit(feats: DataFrame, labels: DataFrame) -> Discriminant:
@@ -118,15 +118,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return d.mapInArrow(lambda it: _score(it, model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _accepted(batches, model: Discriminant):
+    for batch in text_slices(batches):
+        x = np.array([features(t) for t in batch["text"].to_pylist()]).reshape(-1, N_FEATURES)
+        yield batch.filter(pa.array(model.scores(x) >= 0.5))
+
+
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with score >= 0.5, all columns kept. The texts stay where they are: the model is
     small and each row is scored in place. Null texts are scored as empty ones, repeated rows and rows with a null id each by
     its text; a score of just 0.5 stays, so without enough labels all rows do; an empty table stays empty."""
     model = fit(saved(document_features(docs)), labels)
-
-    def keep(batches):
-        for batch in batches:
-            x = np.array([features(t) for t in batch["text"].to_pylist()]).reshape(-1, N_FEATURES)
-            yield batch.filter(pa.array(model.scores(x) >= 0.5))
-
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda it: lean(_accepted(it, model)), docs.schema)

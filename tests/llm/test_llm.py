@@ -2,11 +2,13 @@
 
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -400,6 +402,23 @@ def test_quality(spark, sf):
     assert quality.score(odd.where("false"), lab).count() == 0 and quality.accept(odd, lab).columns == odd.columns
 
 
+def test_quality_reads_texts_in_slices():
+    rng = random.Random(3)
+    texts = [None, "", *(" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=900)) for _ in range(1500)), "é" * 3_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    assert [b.num_rows for b in common.text_slices([batch, batch.slice(0, 0), batch.slice(1, 1)], 8 << 20)] == [len(texts) - 1, 1, 1]
+    rest, none = batch.slice(0, len(texts) - 1), quality.Discriminant({})  # 7.5 MB of text; all scores are 0.5
+    tracemalloc.start()
+    for made in (quality._features, lambda batches: quality._accepted(batches, none)):
+        ids = []
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        for b in made([rest]):
+            ids += b["doc_id"].to_pylist()
+        assert ids == list(range(len(texts) - 1)) and tracemalloc.get_traced_memory()[1] - before < 4 << 20
+    tracemalloc.stop()
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -564,6 +583,32 @@ def test_blocks_of_a_cluster_send_texts_a_few_times(spark, tmp_path, monkeypatch
     assert max(sent) <= 2 * ngram_join.OFFSETS * len(rows) if shared else sum(sent) < 2 * len(rows)
 
 
+@pytest.mark.parametrize("how", [{}, {"heavy_least": 1000, "dense": 2, "list_max": 8, "cluster_shingles": 300}])
+def test_one_python_worker_a_task(spark, monkeypatch, how):
+    """No table of the join is written by tasks that feed one Python function from another: each would hold two workers."""
+    apart = {"RepartitionByExpression", "Aggregate", "Join", "FlatMapGroupsInArrow"}
+    most = []
+
+    def workers(node) -> int:
+        name, below = node.nodeName(), node.children()
+        under = 0 if name in apart else max([workers(below.apply(k)) for k in range(below.size())], default=0)
+        return under + ("InArrow" in name)
+
+    def seen(df, *by, write=common.saved):
+        most.append(workers(df._jdf.queryExecution().optimizedPlan()))
+        return write(df, *by)
+
+    monkeypatch.setattr(common, "saved", seen)
+    monkeypatch.setattr(ngram_join, "saved", seen)
+    rng = random.Random(11)
+    passage = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(6)]
+    texts = [[w for k in c for w in passage[k]] for c in itertools.combinations(range(6), 3)]
+    rows = [(k, " ".join(t)) for k, t in enumerate([*texts, *([*t[:90], "new", *t[91:]] for t in texts[::3])])]
+    got = ngram_join.jaccard_components(docs(spark, rows), 5, 80, 100, **how).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == ngram_join.brute_force(rows, 5, 80, 100)
+    assert max(most) == 1
+
+
 def test_pairs_of_blocks_meet_once(spark):
     made = spark.createDataFrame([(n, b) for n in range(2, 12) for b in range(n)], "blocks int, block int")
     met = Counter()
